@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varcost import constants as K
@@ -135,16 +135,21 @@ def summaries_with_checks(report: DataFrame, run_ts: str) -> DataFrame:
     return summarise(report).join(checks, "df").withColumn("run_ts", F.lit(run_ts))
 
 
+def collect_summaries(summary: DataFrame) -> list[dict]:
+    """The summaries as dictionaries; there is one per data set."""
+    return [row.asDict(recursive=True) for row in summary.orderBy("df").collect()]
+
+
 def gate(summary: DataFrame) -> list[dict]:
-    """Return the summaries, one per data set, or raise if any of them failed."""
-    summaries = [row.asDict(recursive=True) for row in summary.orderBy("df").collect()]
+    """Return the summaries, or raise if any data set failed."""
+    summaries = collect_summaries(summary)
     failed = [f"{s['df']} ({s['failed']} failed checks)" for s in summaries if s["overall"] == FAIL]
     if failed:
         raise DataQualityError(f"data quality failed in {', '.join(failed)}")
     return summaries
 
 
-def gate_from_report(spark, path: str) -> list[dict]:
+def gate_from_report(spark: SparkSession, path: str) -> list[dict]:
     """Apply the gate to a JSON report written by an earlier run."""
     return gate(spark.read.json(path))
 

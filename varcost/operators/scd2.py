@@ -2,6 +2,7 @@
 
 Versions cover half-open intervals ``[fecha_inicio, fecha_fin)``. A change in any tracked column
 starts a new version; a key that a snapshot lacks closes its version on that snapshot's date.
+Carried columns (audit data) are kept from the snapshot that began a version, not compared.
 """
 
 from __future__ import annotations
@@ -18,21 +19,20 @@ from varcost.functions.keys import surrogate_key
 PROVIDER_TRACKED = ("nombre", "especialidad", "region", "cuit", "cuit_valido", "habilitado")
 
 
-def _finish(versions: DataFrame, key: str, tracked: Sequence[str], sk: str) -> DataFrame:
-    return versions.select(
-        surrogate_key(F.col(key), F.col("fecha_inicio")).alias(sk),
-        key,
-        *tracked,
-        "fecha_inicio",
-        "fecha_fin",
-        F.col("fecha_fin").isNull().alias("es_vigente"),
-    )
+def _finish(
+    versions: DataFrame, key: str, tracked: Sequence[str], carried: Sequence[str], sk: str
+) -> DataFrame:
+    return versions.withColumns({
+        sk: surrogate_key(F.col(key), F.col("fecha_inicio")),
+        "es_vigente": F.col("fecha_fin").isNull(),
+    }).select(sk, key, *tracked, "fecha_inicio", "fecha_fin", "es_vigente", *carried)
 
 
 def history(
     snapshots: Mapping[date, DataFrame],
     key: str = "prestador_id",
     tracked: Sequence[str] = PROVIDER_TRACKED,
+    carried: Sequence[str] = (),
     sk: str = "prestador_sk",
 ) -> DataFrame:
     """All versions from all snapshots, with one shuffle on the key.
@@ -48,6 +48,7 @@ def history(
             snapshots[d].select(
                 key,
                 *tracked,
+                *carried,
                 F.lit(d).alias("_date"),
                 F.lit(following[d]).cast("date").alias("_next"),
             )
@@ -65,9 +66,11 @@ def history(
         "_run", F.sum(F.col("_starts").cast("int")).over(in_time)
     )
     versions = runs.groupBy(key, "_run", *tracked).agg(
-        F.min("_date").alias("fecha_inicio"), F.max_by("_next", "_date").alias("fecha_fin")
+        F.min("_date").alias("fecha_inicio"),
+        F.max_by("_next", "_date").alias("fecha_fin"),
+        *(F.min_by(c, "_date").alias(c) for c in carried),
     )
-    return _finish(versions, key, tracked, sk)
+    return _finish(versions, key, tracked, carried, sk)
 
 
 def merge_snapshot(
@@ -76,6 +79,7 @@ def merge_snapshot(
     on: date,
     key: str = "prestador_id",
     tracked: Sequence[str] = PROVIDER_TRACKED,
+    carried: Sequence[str] = (),
     sk: str = "prestador_sk",
 ) -> DataFrame:
     """The dimension after one more full snapshot.
@@ -84,12 +88,19 @@ def merge_snapshot(
     same snapshot again changes nothing, and a correction of the same date replaces the version
     it began. A snapshot older than a current version of one of its keys is an error.
     """
-    columns = [key, *tracked, "fecha_inicio", "fecha_fin"]
+    columns = [key, *tracked, *carried, "fecha_inicio", "fecha_fin"]
     closed = dimension.filter(~F.col("es_vigente")).select(*columns)
     old = dimension.filter("es_vigente").select(
-        F.col(key).alias("_key"), F.struct(*tracked).alias("_old"), F.col("fecha_inicio").alias("_since")
+        F.col(key).alias("_key"),
+        F.struct(*tracked).alias("_old"),
+        F.struct(*tracked, *carried).alias("_old_row"),
+        F.col("fecha_inicio").alias("_since"),
+    )
+    new = snapshot.select(
+        F.col(key).alias("_new_key"),
+        F.struct(*tracked).alias("_new"),
+        F.struct(*tracked, *carried).alias("_new_row"),
     )
-    new = snapshot.select(F.col(key).alias("_new_key"), F.struct(*tracked).alias("_new"))
     both = old.join(new, F.col("_key") == F.col("_new_key"), "full")
 
     day = F.lit(on)
@@ -101,7 +112,7 @@ def merge_snapshot(
     ).otherwise(F.col("_since"))
 
     def version(state: Column, since: Column, until: Column) -> Column:
-        fields = [state[c].alias(c) for c in tracked]
+        fields = [state[c].alias(c) for c in (*tracked, *carried)]
         return F.struct(
             F.coalesce("_key", "_new_key").alias(key),
             *fields,
@@ -110,11 +121,11 @@ def merge_snapshot(
         )
 
     open_end = F.lit(None)
-    kept = F.when(same, version(F.col("_old"), in_order, open_end))
-    ended = F.when(is_old & ~same & (in_order < day), version(F.col("_old"), in_order, day))
-    begun = F.when(is_new & ~same, version(F.col("_new"), day, open_end))
+    kept = F.when(same, version(F.col("_old_row"), in_order, open_end))
+    ended = F.when(is_old & ~same & (in_order < day), version(F.col("_old_row"), in_order, day))
+    begun = F.when(is_new & ~same, version(F.col("_new_row"), day, open_end))
     merged = both.select(F.explode(F.array_compact(F.array(kept, ended, begun))).alias("v")).select("v.*")
-    return _finish(closed.unionByName(merged), key, tracked, sk)
+    return _finish(closed.unionByName(merged), key, tracked, carried, sk)
 
 
 def current(dimension: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from varcost.contracts import WAREHOUSE, TableSpec
+from varcost.sinks.writers import laid_out
 
 
 def _text(value: str) -> str:
@@ -12,7 +13,7 @@ def _text(value: str) -> str:
     return f"'{escaped}'"
 
 
-def create_table_sql(spec: TableSpec, database: str, location: str | None = None) -> str:
+def create_table_sql(spec: TableSpec, database: str) -> str:
     """Idempotent CREATE TABLE with defaults, comments, labels and partitions.
 
     Spark does not enforce NOT NULL on Parquet tables; required columns are declared in the
@@ -33,15 +34,22 @@ def create_table_sql(spec: TableSpec, database: str, location: str | None = None
     parts = [
         f"CREATE TABLE IF NOT EXISTS `{database}`.`{spec.name}` (\n  {columns}\n) USING parquet",
         f"PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else "",
-        f"LOCATION {_text(location)}" if location else "",
         f"COMMENT {_text(spec.comment)}",
         "TBLPROPERTIES (" + ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items()) + ")",
     ]
     return "\n".join(p for p in parts if p)
 
 
-def create_warehouse(spark: SparkSession, database: str, base: str | None = None) -> None:
+def create_warehouse(spark: SparkSession, database: str) -> None:
     """Create the database and its four tables, keeping those that exist."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for spec in WAREHOUSE.values():
-        spark.sql(create_table_sql(spec, database, f"{base}/{spec.name}" if base else None))
+        spark.sql(create_table_sql(spec, database))
+
+
+def insert_table(df: DataFrame, database: str, spec: TableSpec) -> None:
+    """Replace a catalogue table's content, or of a partitioned one the partitions in ``df``."""
+    name = f"`{database}`.`{spec.name}`"
+    columns = df.sparkSession.table(name).columns  # insertInto goes by position
+    rows = laid_out(df.select(*columns), spec.partition_by, spec.cluster_by)
+    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from varcost.contracts import TableSpec
 
 
+class Written(NamedTuple):
+    """Where a table went."""
+
+    fmt: str
+    target: str
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.format(self.fmt).load(self.target)
+
+
 def laid_out(df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
     """Arrange rows for a partitioned, clustered write.
 
@@ -32,7 +43,7 @@ def write_table(
     cluster_by: Sequence[str] = (),
     options: Mapping[str, str] | None = None,
     fallback: str | None = None,
-) -> str:
+) -> Written:
     """Write a table and return where it went.
 
     Parquet targets are paths; ``overwrite`` of a partitioned table replaces only the partitions
@@ -47,7 +58,7 @@ def write_table(
             if mode == "overwrite":
                 writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.options(**(options or {})).parquet(target)
-        return target
+        return Written(fmt, target)
     layout = {"table": target}
     if partition_by:
         layout["partitionField"] = partition_by[0]
@@ -55,14 +66,14 @@ def write_table(
         layout["clusteredFields"] = ",".join(cluster_by)
     try:
         df.write.format(fmt).options(**layout, **(options or {})).mode(mode).save()
-        return target
+        return Written(fmt, target)
     except (Py4JJavaError, PySparkException) as error:
         if fallback is None or "DATA_SOURCE_NOT_FOUND" not in str(error):
             raise
     return write_table(df, fallback, "parquet", mode, partition_by, cluster_by)
 
 
-def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> str:
+def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> Written:
     """Write a warehouse table under ``base`` with the layout of its specification."""
     return write_table(
         df.select(*spec.schema.names),
