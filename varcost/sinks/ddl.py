@@ -33,7 +33,9 @@ def create_table_sql(spec: TableSpec, database: str) -> str:
     }
     parts = [
         f"CREATE TABLE IF NOT EXISTS `{database}`.`{spec.name}` (\n  {columns}\n) USING parquet",
-        f"PARTITIONED BY ({', '.join(spec.partition_by)})" if spec.partition_by else "",
+        # INSERT OVERWRITE replaces the partitions it writes, from SQL as well.
+        f"OPTIONS (partitionOverwriteMode 'dynamic')\nPARTITIONED BY ({', '.join(spec.partition_by)})"
+        if spec.partition_by else "",
         f"COMMENT {_text(spec.comment)}",
         "TBLPROPERTIES (" + ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items()) + ")",
     ]
@@ -52,4 +54,4 @@ def insert_table(df: DataFrame, database: str, spec: TableSpec) -> None:
     name = f"`{database}`.`{spec.name}`"
     columns = df.sparkSession.table(name).columns  # insertInto goes by position
     rows = laid_out(df.select(*columns), spec.partition_by, spec.cluster_by)
-    rows.write.option("partitionOverwriteMode", "dynamic").insertInto(name, overwrite=True)
+    rows.write.insertInto(name, overwrite=True)
