@@ -80,6 +80,8 @@ def magnitude_ranks(
         above = _with_rows_above(counts, level[:-1], level[-1]).select(
             *level, F.col("_above").alias("_cells_above")
         )
+        # Null-safe even on digits: plain equality would make the optimiser add IS NOT NULL
+        # filters to some branches, which then could not share the shuffle of ``distinct``.
         ranked = (
             join_null_safe(ranked, above, level, "inner")
             .withColumn("_above", F.col("_above") + F.col("_cells_above"))
@@ -91,7 +93,7 @@ def magnitude_ranks(
 def join_ranks(df: DataFrame, ranks: DataFrame, group: str, magnitude: Column) -> DataFrame:
     """Add the rank of ``magnitude`` to every row of ``df``."""
     keyed = df.withColumn("_score", scored(magnitude))
-    return join_null_safe(keyed, ranks, [group, "_score"]).drop("_score")
+    return join_null_safe(keyed, ranks, [group], never_null=["_score"]).drop("_score")
 
 
 def _with_rows_above(counts: DataFrame, partition: Sequence[str], order: str) -> DataFrame:

@@ -143,14 +143,18 @@ def as_of_month(
     """Left-join the version in force on the last day of each row's month.
 
     The key is an equi-join condition and the interval a residual on the few versions of that
-    key; intervals of a key do not overlap, so no row is multiplied.
+    key; intervals of a key do not overlap, so no row is multiplied. A date is not after the last
+    day of a month exactly if its own month is not after that month, so months are compared as
+    ``yyyyMM`` text: dates are formatted once per version and never parsed per fact row.
     """
-    day = F.last_day(F.to_date(fact[month], "yyyyMM"))
     versions = dimension.select(
-        F.col(key).alias("_key"), F.col("fecha_inicio").alias("_from"), F.col("fecha_fin").alias("_to"),
+        F.col(key).alias("_key"),
+        F.date_format("fecha_inicio", "yyyyMM").alias("_from"),
+        F.date_format("fecha_fin", "yyyyMM").alias("_to"),
         *columns,
     )
-    in_force = (versions["_from"] <= day) & (versions["_to"].isNull() | (versions["_to"] > day))
-    return fact.join(versions, (fact[key] == versions["_key"]) & in_force, "left").drop(
+    begun = versions["_from"] <= fact[month]
+    not_ended = versions["_to"].isNull() | (versions["_to"] > fact[month])
+    return fact.join(versions, (fact[key] == versions["_key"]) & begun & not_ended, "left").drop(
         "_key", "_from", "_to"
     )

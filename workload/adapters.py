@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varcost.contracts import CATALOGUE, COSTS, PROVIDERS, contract, enforce_contract
 from varcost.operators.cleaning import normalise_providers
+from varcost.sinks.scratch import stage
 from varcost.sources.readers import read_parquet
 
 LINEITEM = contract(
@@ -141,7 +142,7 @@ def raw_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provider_snapshots(spark: SparkSession, sf_dir: str) -> dict[date, DataFrame]:
     """Three full snapshots of the normalised providers with planted changes."""
-    normal = normalise_providers(raw_providers(spark, sf_dir), ["ver"])
+    normal = stage(normalise_providers(raw_providers(spark, sf_dir), ["ver"]), "providers")
     key = F.substring("prestador_id", 2, 18).cast("long")
     region = (
         F.col("region"),

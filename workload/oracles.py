@@ -241,6 +241,31 @@ def union(parts: list[str]) -> str:
 RAW_SUITES = catalogue_suite("catalogue_raw", "raw_catalogue") + provider_suite("providers_raw", "raw_providers")
 CLEAN_SUITES = catalogue_suite("nomenclador", "catalogue") + provider_suite("prestadores", "providers")
 
+COST_SUITE = [
+    null_rate("costos", "costs", "costo_real"), null_rate("costos", "costs", "costo_ppto"),
+    uniqueness("costos", "costs", "prestador_id,codigo_sns,periodo"),
+]
+
+# The run has no load sequence to break ties with: the remaining columns decide, in order. All
+# providers are in its history, each with one version from the beginning.
+RUN_DIMENSIONS = RAW_CATALOGUE + """,
+catalogue AS (
+  SELECT codigo_sns FROM (
+    SELECT trim(upper(codigo_sns)) AS codigo_sns, precio_ref, vigente,
+           row_number() OVER (
+             PARTITION BY trim(upper(codigo_sns))
+             ORDER BY fecha_vigencia DESC NULLS LAST, nombre DESC NULLS LAST,
+                      laboratorio DESC NULLS LAST, precio_ref DESC NULLS LAST,
+                      unidad_medida DESC NULLS LAST, vigente DESC NULLS LAST) AS place
+    FROM raw_catalogue)
+  WHERE place = 1 AND precio_ref >= 0.01 AND vigente
+),""" + RAW_PROVIDERS + f""",
+history AS (
+  SELECT DISTINCT prestador_id, DATE '1900-01-01' AS fecha_inicio, NULL::date AS fecha_fin,
+         {key("prestador_id", "'1900-01-01'")} AS prestador_sk
+  FROM raw_providers
+)"""
+
 ORACLES = {
     "variance_pct": with_(SCORED) + f"""
 SELECT {GRAIN}, costo_real, costo_ppto, desvio_pct, desvio_abs_ars FROM scored""",
@@ -282,15 +307,20 @@ FROM catalogue""",
     ]),
     "dq_catalog": with_(CATALOGUE) + union(catalogue_suite("nomenclador", "catalogue")),
     "dq_providers": with_(PROVIDERS) + union(provider_suite("prestadores", "providers")),
-    "dq_costs": with_(COSTS) + union([
-        null_rate("costos", "costs", "costo_real"), null_rate("costos", "costs", "costo_ppto"),
-        uniqueness("costos", "costs", "prestador_id,codigo_sns,periodo"),
-    ]),
+    "dq_costs": with_(COSTS) + union(COST_SUITE),
     "dq_summary": with_(CATALOGUE, PROVIDERS) + f"""
 SELECT df, count(*) AS total_checks, count(*) FILTER (status = 'FAIL') AS failed,
        count(*) FILTER (status = 'WARN') AS warned,
        CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS overall
 FROM ({union(RAW_SUITES + CLEAN_SUITES)}) GROUP BY df""",
+    "dq_audit": with_(CATALOGUE, PROVIDERS) + f"""
+SELECT *, '20020101T000000' AS run_id FROM ({union(CLEAN_SUITES)})""",
+    "dq_report_file": with_(RAW_CATALOGUE, COSTS) + f"""
+SELECT df, count(*) AS total_checks, count(*) FILTER (status = 'FAIL') AS failed,
+       count(*) FILTER (status = 'WARN') AS warned,
+       CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS overall,
+       '2002-01-01T00:00:00' AS run_ts
+FROM ({union(catalogue_suite("catalogue_raw", "raw_catalogue") + COST_SUITE)}) GROUP BY df""",
     "dim_tiempo": with_(MONTHS) + "SELECT * FROM months",
     "fact_enriched": with_(FULL, PROVIDERS, CATALOGUE) + """
 SELECT v.* EXCLUDE (periodo_id), p.nombre AS nombre_prestador, p.region, p.especialidad,
@@ -304,6 +334,7 @@ SELECT {GRAIN}, {FACT_ID} AS fact_id, {CATALOGUE_KEY} AS medicamento_sk FROM cos
 SELECT prestador_id, periodo, count(*) AS filas FROM costs GROUP BY ALL HAVING count(*) > 1""",
     "fact_star": with_(FULL, CATALOGUE, HISTORY) + STAR,
     "sink_roundtrip": with_(FULL, CATALOGUE, HISTORY) + STAR,
+    "monthly_run": with_(FULL, RUN_DIMENSIONS) + STAR,
     "dim_catalog": with_(CATALOGUE) + f"""
 SELECT {CATALOGUE_KEY} AS medicamento_sk, * REPLACE (fecha_vigencia::varchar AS fecha_vigencia),
        'nomenclador_nacional' AS _source

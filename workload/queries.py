@@ -13,13 +13,15 @@ from varcost.contracts import CATALOGUE, COSTS, FACT, WAREHOUSE, enforce_contrac
 from varcost.functions.keys import surrogate_key
 from varcost.operators import cleaning, quality, scd2, star, variance
 from varcost.plans import audit, marts
+from varcost.plans.monthly import run_monthly
 from varcost.sinks.scratch import scratch_folder, stage
-from varcost.sinks.writers import write_spec, write_table
+from varcost.sinks.writers import append_audit, write_report_json, write_spec, write_table
 from varcost.sources.calendar import calendar_of
 from varcost.sources.readers import read_csv
 from workload import adapters as A
 
 GRAIN = ("prestador_id", "periodo", "codigo_sns")
+AUDIT = "df string, check string, value double, threshold double, status string, run_id string"
 RUN = star.Run(datetime(2002, 1, 1))
 
 
@@ -58,6 +60,22 @@ def full(spark, sf_dir):
     return variance.budget_variance(staged_costs(spark, sf_dir))
 
 
+# Dimensions come from a table, as in the monthly run: the planner then knows their size and
+# broadcasts a small one without shuffling the fact first.
+
+
+def staged_catalogue(spark, sf_dir):
+    return stage(catalogue(spark, sf_dir), "catalogue")
+
+
+def staged_providers(spark, sf_dir):
+    return stage(providers(spark, sf_dir), "providers")
+
+
+def staged_history(spark, sf_dir):
+    return stage(provider_history(spark, sf_dir), "history")
+
+
 def catalogue(spark, sf_dir):
     return cleaning.clean_catalogue(A.raw_catalogue(spark, sf_dir), ["p_partkey"])
 
@@ -203,6 +221,24 @@ def dq_summary(spark, sf_dir):
     return quality.summarise(reports)
 
 
+def dq_audit(spark, sf_dir):
+    """The checks of a run as kept in the audit table; a repeated run id leaves one copy."""
+    path = f"{scratch_folder(spark)}/audit-{uuid.uuid4().hex}"
+    report = dq_catalog(spark, sf_dir).unionByName(dq_providers(spark, sf_dir))
+    for _ in range(2):
+        append_audit(report, path, RUN.run_id)
+    return spark.read.schema(AUDIT).parquet(path)
+
+
+def dq_report_file(spark, sf_dir):
+    """The summaries as exported to JSON and read back for the gate."""
+    path = f"{scratch_folder(spark)}/report-{uuid.uuid4().hex}"
+    report = quality.run_suite(A.raw_catalogue(spark, sf_dir), "catalogue_raw", quality.CATALOGUE_SUITE)
+    both = report.unionByName(dq_costs(spark, sf_dir))
+    write_report_json(quality.summaries_with_checks(both, RUN.started.isoformat()), path)
+    return spark.read.json(path).select("df", "total_checks", "failed", "warned", "overall", "run_ts")
+
+
 # Star schema -------------------------------------------------------------------------------
 
 
@@ -211,7 +247,7 @@ def dim_tiempo(spark, sf_dir):
 
 
 def fact_enriched(spark, sf_dir):
-    return star.enrich(full(spark, sf_dir), providers(spark, sf_dir), catalogue(spark, sf_dir))
+    return star.enrich(full(spark, sf_dir), staged_providers(spark, sf_dir), staged_catalogue(spark, sf_dir))
 
 
 def surrogate_keys(spark, sf_dir):
@@ -229,7 +265,7 @@ def fact_grain(spark, sf_dir):
 
 def star_rows(spark, sf_dir):
     return star.star_fact(
-        full(spark, sf_dir), provider_history(spark, sf_dir), catalogue(spark, sf_dir), RUN
+        full(spark, sf_dir), staged_history(spark, sf_dir), staged_catalogue(spark, sf_dir), RUN
     )
 
 
@@ -249,6 +285,16 @@ def sink_roundtrip(spark, sf_dir):
     return comparable(spark.read.schema(FACT).parquet(path).drop("_calc_ts"))
 
 
+def monthly_run(spark, sf_dir):
+    """The whole monthly run over landing tables made from the given ones; returns the fact."""
+    base = f"{scratch_folder(spark)}/run-{uuid.uuid4().hex}"
+    A.raw_catalogue(spark, sf_dir).drop("p_partkey").write.parquet(f"{base}/raw/nomenclador")
+    A.raw_providers(spark, sf_dir).drop("ver").write.parquet(f"{base}/raw/prestadores")
+    A.costs(spark, sf_dir).write.parquet(f"{base}/raw/costos")
+    result = run_monthly(spark, use_mock=False, landing=f"{base}/raw", output=f"{base}/dw", run=RUN)
+    return comparable(spark.read.schema(FACT).parquet(result["fact"]).drop("_calc_ts"))
+
+
 def dim_catalog(spark, sf_dir):
     return comparable(star.catalogue_dimension(catalogue(spark, sf_dir)).drop("_ingestion_ts"))
 
@@ -277,7 +323,7 @@ def scd2_current(spark, sf_dir):
 def pit_join(spark, sf_dir):
     rows = A.costs(spark, sf_dir).select(*GRAIN)
     columns = ("prestador_sk", "region", "habilitado", "fecha_inicio")
-    return comparable(scd2.as_of_month(rows, provider_history(spark, sf_dir), columns=columns))
+    return comparable(scd2.as_of_month(rows, staged_history(spark, sf_dir), columns=columns))
 
 
 # Reports -----------------------------------------------------------------------------------
@@ -311,8 +357,10 @@ QUERIES = {
         provider_month_total, variance_full, active_alerts,
         scan_contract, contract_nulls, csv_seed, latest_per_key, dedup_providers, clean_catalog,
         clean_providers,
-        dq_null_rate, dq_uniqueness, dq_range, dq_catalog, dq_providers, dq_costs, dq_summary,
-        dim_tiempo, fact_enriched, surrogate_keys, fact_grain, fact_star, sink_roundtrip, dim_catalog,
+        dq_null_rate, dq_uniqueness, dq_range, dq_catalog, dq_providers, dq_costs, dq_summary, dq_audit,
+        dq_report_file,
+        dim_tiempo, fact_enriched, surrogate_keys, fact_grain, fact_star, sink_roundtrip, monthly_run,
+        dim_catalog,
         scd2_history, scd2_incremental, scd2_current, pit_join,
         period_summary, top_providers, smoke_orphans, smoke_alerts, severity_profile,
     )
