@@ -146,6 +146,11 @@ def as_of_month(
     key; intervals of a key do not overlap, so no row is multiplied. A date is not after the last
     day of a month exactly if its own month is not after that month, so months are compared as
     ``yyyyMM`` text: dates are formatted once per version and never parsed per fact row.
+
+    Give the dimension as scanned from a table. Its size is then known, so a small one is
+    broadcast without shuffling the fact, and with a large one a provider with very many fact
+    rows is split over tasks; a frame still partitioned by the key from a window or aggregate of
+    its own would be joined in place, which rules that out.
     """
     versions = dimension.select(
         F.col(key).alias("_key"),

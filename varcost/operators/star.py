@@ -38,6 +38,7 @@ def enrich(variance: DataFrame, providers: DataFrame, catalogue: DataFrame) -> D
     """Add provider and drug attributes; rows without a match keep NULLs.
 
     Both dimensions are unique on their key after cleaning, so the row count does not change.
+    Give them as scanned from tables, for the reasons in :func:`scd2.as_of_month`.
     """
     provider = providers.select(
         "prestador_id", F.col("nombre").alias("nombre_prestador"), "region", "especialidad"
