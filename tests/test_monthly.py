@@ -10,7 +10,7 @@ from varcost.operators.quality import DataQualityError, gate_from_report
 from varcost.operators.star import Run
 from varcost.plans.monthly import landing_frames, run_monthly
 from varcost.sources.demo import demo_frames
-from varcost.sources.readers import read_latest
+from varcost.sinks.versions import read_latest
 
 FIRST, SECOND = Run(datetime(2024, 3, 1, 6)), Run(datetime(2024, 4, 1, 6))
 
@@ -48,6 +48,17 @@ def test_star(spark, demo_run):
     assert fact.filter("_calc_ts IS NULL").count() == 0
 
 
+def test_run_timestamp_is_an_instant(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/Argentina/Buenos_Aires"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            seconds = spark.range(1).select(FIRST.timestamp.cast("long")).first()[0]
+            assert seconds == 1709272800
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_rerun_leaves_the_same_tables(spark, tmp_path):
     base = str(tmp_path)
     run_monthly(spark, output=base, run=FIRST)

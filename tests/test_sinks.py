@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varcost import contracts as C
 from varcost.sinks import ddl, scratch, writers
 from varcost.sources.calendar import calendar
-from varcost.sources.readers import read_latest
+from varcost.sinks.versions import read_latest, write_version
 
 
 def sample(spark, months=("202401", "202402"), value=1.0):
@@ -57,11 +57,16 @@ def test_fallback_only_for_a_missing_format(spark, tmp_path):
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "dim")
     assert read_latest(spark, path) is None
-    writers.write_version(sample(spark, value=1.0), path, "20240101T000000", ["p"])
+    write_version(sample(spark, value=1.0), path, "20240101T000000", ["p"])
     # A table computed from its own previous version.
-    writers.write_version(read_latest(spark, path).withColumn("v", F.lit(5.0)), path, "20240201T000000", ["p"])
+    write_version(read_latest(spark, path).withColumn("v", F.lit(5.0)), path, "20240201T000000", ["p"])
     assert {r["v"] for r in read_latest(spark, path).collect()} == {5.0}
     assert read_latest(spark, path).columns == ["periodo", "p", "v"]
+    # Another attempt of the same run, computed from the first, replaces nothing.
+    second = write_version(read_latest(spark, path).withColumn("v", F.col("v") + 1), path, "20240201T000000")
+    assert second == "20240201T000000-0001"
+    assert {r["v"] for r in read_latest(spark, path).collect()} == {6.0}
+    assert len(list((tmp_path / "dim").glob("version=*"))) == 3
 
 
 def test_warehouse_tables(spark):

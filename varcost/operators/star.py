@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varcost import constants as K
@@ -16,7 +16,7 @@ from varcost.operators import scd2
 
 @dataclass(frozen=True)
 class Run:
-    """Lineage of a run: fixed once, so every task and retry writes the same values."""
+    """Lineage of a run (``started`` is UTC): fixed once, so every task writes the same values."""
 
     started: datetime
     version: str = K.VERSION
@@ -30,8 +30,9 @@ class Run:
         return self.started.strftime("%Y%m%dT%H%M%S")
 
     @property
-    def timestamp(self):
-        return F.lit(self.started.isoformat(" ")).cast("timestamp")
+    def timestamp(self) -> Column:
+        # The offset keeps the instant right in any session time zone.
+        return F.lit(f"{self.started.isoformat(' ')}+00:00").cast("timestamp")
 
 
 def enrich(variance: DataFrame, providers: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def with_lineage(df: DataFrame, run: Run) -> DataFrame:
     })
 
 
-def fact_key():
+def fact_key() -> Column:
     """Surrogate key of the fact's grain."""
     return surrogate_key(F.col("prestador_id"), F.col("codigo_sns"), F.col("periodo"))
 

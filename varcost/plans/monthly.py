@@ -15,10 +15,11 @@ from varcost.operators.variance import budget_variance
 from varcost.plans import audit
 from varcost.session import get_spark
 from varcost.sinks.scratch import scratch_folder, stage
-from varcost.sinks.writers import append_audit, write_report_json, write_table, write_version
+from varcost.sinks.versions import read_latest, write_version
+from varcost.sinks.writers import append_audit, write_report_json, write_table
 from varcost.sources.calendar import calendar
 from varcost.sources.demo import demo_frames
-from varcost.sources.readers import read_latest, read_parquet
+from varcost.sources.readers import read_parquet
 
 # The calendar's span.
 CALENDAR_FIRST, CALENDAR_LAST = date(2020, 1, 1), date(2026, 12, 1)

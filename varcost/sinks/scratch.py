@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode a temporary one if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):

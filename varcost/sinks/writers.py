@@ -84,15 +84,6 @@ def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> Written:
     )
 
 
-def write_version(df: DataFrame, path: str, version: str, cluster_by: Sequence[str] = ()) -> None:
-    """Write a whole new version of a table beside the earlier ones.
-
-    A table that is computed from itself cannot overwrite the files it reads. Versions sort by
-    name, ``read_latest`` picks the last, and a failed write leaves the previous one in force.
-    """
-    laid_out(df, cluster_by=cluster_by).write.mode("overwrite").parquet(f"{path}/version={version}")
-
-
 def write_report_json(summary: DataFrame, path: str) -> None:
     """Export data-quality summaries as JSON; there is one row per data set."""
     summary.coalesce(1).write.mode("overwrite").json(path)

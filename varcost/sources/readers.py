@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -76,15 +75,3 @@ def read_jdbc(
         {c: names[c.lower()] for c in scanned.columns if c.lower() in names}
     )
     return enforce_contract(renamed, contract)
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a table kept by ``write_version``, or None if there is none."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    newest = versions.selectExpr("max(version) AS version").first()["version"]
-    return versions.filter(versions["version"] == newest).drop("version")
