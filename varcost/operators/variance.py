@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from varcost import constants as K
 from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
-from varcost.operators.ranking import join_ranks, magnitude_ranks
+from varcost.operators.ranking import DIGIT_BITS, join_ranks, magnitude_ranks
 
 
 @dataclass(frozen=True)
 class VarianceSpec:
-    """Column names and thresholds; the defaults fit the cost contract."""
+    """Column names and thresholds; the defaults fit the cost contract.
+
+    ``rank_digits`` sets how finely a month is cut for ranking. Another level, ``(10, 16, 16)``,
+    suits months with a great many different variances within a few parts in 100 million.
+    """
 
     provider: str = "prestador_id"
     item: str = "codigo_sns"
@@ -24,6 +28,7 @@ class VarianceSpec:
     budget: str = "costo_ppto"
     alert_at: float = K.ALERT_AT
     bands: tuple[tuple[str, float], ...] = K.SEVERITY_BANDS
+    rank_digits: tuple[int, ...] = DIGIT_BITS
 
 
 SPEC = VarianceSpec()
@@ -65,7 +70,9 @@ def with_trend(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
 
 def month_ranks(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """Rank of each absolute variance within its month, as a table to join."""
-    return magnitude_ranks(df, spec.month, F.abs("desvio_pct"), "rank_desvio_periodo")
+    return magnitude_ranks(
+        df, spec.month, F.abs("desvio_pct"), "rank_desvio_periodo", spec.rank_digits
+    )
 
 
 def with_month_rank(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
