@@ -116,6 +116,20 @@ def test_custom_names_and_bands(spark):
     assert (row["severidad"], row["alerta_flag"], row["rank_desvio_periodo"]) == ("HIGH", True, 1)
 
 
+def test_money_sums_keep_values_a_decimal_cannot_hold(spark):
+    from varcost.functions.variance import money_sum
+
+    nan, inf = float("nan"), float("inf")
+    data = [("exact", 0.1), ("exact", 0.2), ("exact", None), ("nan", nan), ("nan", 1.0), ("inf", inf), ("inf", 1.0),
+            ("both", inf), ("both", -inf), ("none", None)]
+    df = spark.createDataFrame(data, "k string, x double").repartition(3)
+    got = {k: v for k, v in rows(df.groupBy("k").agg(money_sum(F.col("x"))))}
+    assert (got["exact"], got["inf"], got["none"]) == (0.3, inf, None)
+    assert math.isnan(got["nan"]) and math.isnan(got["both"])
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        spark.createDataFrame([(1e15,)], "x double").agg(money_sum(F.col("x"))).collect()
+
+
 def _reference_rank(df):
     w = Window.partitionBy("g").orderBy(F.col("x").desc_nulls_last())
     return df.withColumn("r", F.rank().over(w).cast("long"))

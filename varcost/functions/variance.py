@@ -44,8 +44,14 @@ def trend(current: Column, previous: Column) -> Column:
 
 
 def money_sum(amount: Column) -> Column:
-    """Sum of a double amount that does not depend on the order rows arrive in."""
-    return F.sum(amount.cast(MONEY)).cast("double")
+    """Sum of a double amount that does not depend on the order rows arrive in.
+
+    Decimals cannot hold NaN or infinity, so those are summed apart and outweigh the rest, as in
+    a sum of doubles. An amount too large for the decimal is an error.
+    """
+    value = amount.cast("double")
+    not_finite = F.sum(F.when(F.isnan(value - value), value))
+    return F.coalesce(not_finite, F.sum(amount.cast(MONEY)).cast("double"))
 
 
 def ratio_of_sums(part: Column, whole: Column) -> Column:
