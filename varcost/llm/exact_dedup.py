@@ -114,8 +114,9 @@ def exact_dedup(
     rows = _rows(table, id_col, text_col, digest)
 
     # Byte check of the hits. All texts of a class are equal if and only if the smallest equals the
-    # largest. Hits grow with the input, so the join is by shuffle at any size. The renamed key keeps the join apart from the aggregation, so that adaptive
-    # execution may split a hot class, whose rows are then combined map-side.
+    # largest. Hits grow with the input, so the join is by shuffle at any size. The renamed key keeps it
+    # apart from the aggregation, so adaptive execution may split a hot class, whose rows are then
+    # combined map-side.
     hits = stage(found.filter("group_size > 1").select("digest"), "hits")
     checked = (
         rows.select("digest", "text").join(hits.hint("merge"), "digest")

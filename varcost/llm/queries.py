@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varcost.llm import decontamination, exact_dedup, line_dedup, packing, token_counts, warc
+from varcost.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, token_counts, warc
 from workload.local import prepare
 
 # The vocabulary that token counts are made with; only its path is known here.
@@ -31,6 +31,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", *_long("class_size"), "kept")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", *_long("n_lines", "n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,

@@ -298,5 +298,5 @@ def read_warc(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     if with_payload:
         fields.append(("payload", pa.binary()))
     schema = RECORDS + (", payload binary" if with_payload else "")
-    spread = archives.select("path", "n_records").repartition("path")
+    spread = archives.select("path", "n_records").repartition(max(1, archives.count()), "path")
     return spread.mapInArrow(_reader(with_payload, pa.schema(fields)), schema)
