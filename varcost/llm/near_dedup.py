@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varcost.llm.common import BLANKS, FILE, ROW, Words, mix, record_batch, text_slices, with_locator
+from varcost.llm.common import FILE, ROW, Words, mix, record_batch, text_slices, with_locator
 from varcost.sinks.scratch import stage
 
 SHINGLE_WORDS = 5
@@ -150,12 +150,12 @@ def _verify(size: int):
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, size: int, name: str) -> DataFrame:
-    """Similarity of each pair of nodes (``a``, ``b``); texts are joined by shuffle, hot pivots are split."""
+    """Similarity of each pair of nodes (``a``, ``b``); texts are joined by shuffle at any size, hot pivots are split."""
     pairs = stage(pairs, f"{name}-pairs")
     used = stage(pairs.select("a").union(pairs.select("b")).distinct().toDF("node"), f"{name}-used")
-    needed = stage(texts.join(used, "node", "left_semi"), f"{name}-texts")
+    needed = stage(texts.join(used.hint("merge"), "node", "left_semi"), f"{name}-texts")
     left, right = needed.toDF("a", "text_a"), needed.toDF("b", "text_b")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return stage(joined.mapInArrow(_verify(size), "a binary, b binary, similarity double"), f"{name}-scored")
 
 
@@ -248,7 +248,7 @@ def near_dedup(
     members = stage(buckets.join(shared, ["band", "key"]), "members")
     at = nodes.select("node", F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW))
     lenders = stage(members.select("node").distinct().join(at, "node"), "lenders")
-    texts = stage(located.select(FILE, ROW, "text").join(lenders, [FILE, ROW]).select("node", "text"), "texts")
+    texts = stage(located.select(FILE, ROW, "text").join(lenders.hint("merge"), [FILE, ROW]).select("node", "text"), "texts")
 
     # Pivots: first the smallest node, then the one most similar to it, which the group may be copies of.
     spread, links = members.withColumn("class", F.col("node")), None

@@ -64,9 +64,39 @@ GROUP BY a.id, a.r, b.id, b.r
 HAVING count(*) / any_value(n_item) >= 0.8
 """
 
+# Bytes as pairs of hex digits; windows by their start, then gaps and islands of what they cover.
+REPEATS = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, sha256(coalesce(text, '')) AS whole, hex(encode(coalesce(text, ''))) AS x FROM documents
+),
+w AS (
+  SELECT r, p, md5(substr(x, 2 * p + 1, 400)) AS h
+  FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM d WHERE length(x) >= 400)
+),
+dup AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+runs AS (
+  SELECT r, min(p) AS a, max(p) + 200 AS b
+  FROM (SELECT r, p, sum(CASE WHEN p <= prev + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g
+        FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM dup))
+  GROUP BY r, g
+),
+gone AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_end,
+         string_agg(piece, '' ORDER BY a) AS head
+  FROM (SELECT runs.*, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) + 1,
+                              2 * (a - coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0))) AS piece
+        FROM runs JOIN d USING (r))
+  GROUP BY r
+)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN n_spans IS NULL THEN whole ELSE sha256(unhex(head || substr(x, 2 * last_end + 1))) END AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_line_dedup": LINE_DEDUP,
     "op7_warc": WARC,
+    "op8_repeats": REPEATS,
     "op10_decontamination": DECONTAMINATION,
 }

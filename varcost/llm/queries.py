@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varcost.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, token_counts, warc
+from varcost.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, repeats, token_counts, warc
 from workload.local import prepare
 
 # The vocabulary that token counts are made with; only its path is known here.
@@ -55,6 +55,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", *_long("n_bytes", "n_removed", "n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
