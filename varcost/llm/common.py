@@ -138,6 +138,7 @@ class Words:
         last[:-1] &= ~inside[1:]
         last[starts_at[starts_at > 0] - 1] |= inside[starts_at[starts_at > 0] - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.starts, self.ends = starts, ends
         self.hashes = RunningHash(data).of(starts, ends)
         self.bounds = np.searchsorted(starts, offsets)
 

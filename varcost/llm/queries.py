@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varcost.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, repeats, token_counts, warc
+from varcost.llm import (
+    decontamination, exact_dedup, katz, line_dedup, near_dedup, packing, quality, repeats, token_counts, warc,
+)
+from varcost.llm.common import fold
 from workload.local import prepare
 
 # The vocabulary that token counts are made with; only its path is known here.
@@ -23,6 +26,14 @@ def _long(*names: str) -> list:
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 4) == 2
+    scored = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -41,6 +52,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", *_long("n_lines", "n_dropped"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 10) == 0
+    scored = katz.katz_scores(_table(spark, sf_dir, "documents"), train=~held_out)
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), *_long("n_tokens", "n_known", "train_tokens"), "base_score", "score"
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), token_counts.read_ranks(VOCABULARY))
 
@@ -70,9 +89,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_katz": op5_katz,
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_repeats": op8_repeats,
