@@ -226,9 +226,12 @@ def quality_scores(
     columns = [c for c in docs.columns if c != "score"]
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("label")).filter("key IS NOT NULL AND label IS NOT NULL")
     known = known.groupBy("key").agg(F.max("label").alias("label"))
-    narrow = docs.filter(F.coalesce(learn, F.lit(False))).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    described = narrow.join(known, "key").select("key", text_statistics(F.col("text")).alias("stats"), "label")
-    scorer = fit(stage(described, "described"), **options)
+    # The statistics are made first, so that the join moves them and not the texts; at any size it goes by shuffle.
+    taught = docs.filter(F.coalesce(learn, F.lit(False)))
+    described = stage(
+        taught.select(F.col(id_col).alias("key"), text_statistics(F.col(text_col)).cast("array<float>").alias("stats")), "statistics"
+    )
+    scorer = fit(stage(described.join(known.hint("merge"), "key"), "labelled"), **options)
     stats = "__stats"
     while stats in columns:
         stats += "_"
