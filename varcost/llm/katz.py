@@ -33,7 +33,7 @@ RESERVE = 0.1
 # Fixed value of the base model: what is added to each count.
 ADDED = 0.1
 # Text that one block takes, and n-grams that one bucket takes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKET_GRAMS = 2_000_000
 
 END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -111,7 +111,8 @@ class Block:
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):  # one block at a time, each is large
+            row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
             yield row["block"], row
 
 
@@ -133,13 +134,23 @@ def _send(orders: Sequence[int], buckets: int):
                     if b > a:
                         yield record_batch([
                             ("n", pa.array([n], pa.int32())), ("bucket", pa.array([bucket], pa.int32())),
-                            ("block", pa.array([name], pa.int64())), ("keys", pa.array([keys[a:b].tobytes()], pa.binary())),
+                            ("block", pa.array([name], pa.int64())), ("keys", pa.array([_differences(keys[a:b])], pa.binary())),
                             ("counts", pa.array([_narrow(counts[a:b])], pa.binary())),
                         ])
 
     return send
 
 
+def _differences(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, first all lowest bytes and last all highest, which are mostly 0 and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _sums(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _narrow(values: np.ndarray) -> bytes:
     """Small numbers in one byte each; the others follow with their places."""
     big = np.flatnonzero(values >= 255)
@@ -158,7 +169,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Totals of one bucket, for each block in the order of its keys; lowest bit: whether it is the owner."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+    keys = [_sums(k) for k in table["keys"].to_pylist()]
     counts = [_wide(c) for c in table["counts"].to_pylist()]
     sizes = [len(k) for k in keys]
     _, first, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
