@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varcost.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from varcost.llm.common import fold
+from varcost.llm.common import fold, place_of, positional
 from varcost.sinks.scratch import scratch_folder
 from workload.local import prepare
 
@@ -24,8 +24,10 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose quality score is at least the limit; the classifier learns as in op1."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.quality_scores(docs, labels, learn=fold("doc_id", 4) != 2)
-    return scored.filter(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    plain, key = positional(docs), place_of(docs, "doc_id")
+    labels = labels.select(F.col("doc_id").alias(key), "quality")
+    scored = quality.quality_scores(plain, labels, learn=fold(key, 4) != 2, id_col=key, text_col=place_of(docs, "text"))
+    return scored.filter(F.col("score") >= MIN_QUALITY).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,6 +50,15 @@ def with_locator(docs: DataFrame, name: str) -> DataFrame:
         return stage(docs, name).withColumns(where)
 
 
+def positional(docs: DataFrame) -> DataFrame:
+    """The same columns under names that clash with nothing: ``c0``, ``c1`` and so on."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def place_of(docs: DataFrame, column: str) -> str:
+    return f"c{docs.columns.index(column)}"
+
+
 # Vectorised text ---------------------------------------------------------------------------
 
 # Bytes that are handled at once inside a task; bounds the size of the arrays below.

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varcost.llm.common import BLANK_RUN, BLANKS, FILE, ROW, text_of, with_locator
+from varcost.llm.common import BLANK_RUN, BLANKS, FILE, ROW, place_of, positional, text_of, with_locator
 from varcost.sinks.scratch import stage
 
 
@@ -118,7 +118,8 @@ def find_leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item of the benchmark, with all their columns."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    located = with_locator(docs, "documents")
-    leaks = find_leaks(located.select(FILE, ROW, id_col, text_col), benchmark, **options)
-    return located.join(stage(leaks.select(FILE, ROW).distinct(), "leaks"), [FILE, ROW], "left_anti").select(*docs.columns)
+    plain = positional(docs)
+    id_col, text_col = (place_of(docs, options.pop(k, v)) for k, v in (("id_col", "doc_id"), ("text_col", "text")))
+    located = with_locator(plain, "documents")
+    leaks = find_leaks(located, benchmark, id_col=id_col, text_col=text_col, **options)
+    return located.join(stage(leaks.select(FILE, ROW).distinct(), "leaks"), [FILE, ROW], "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varcost.llm.common import BLANK_RUN, FILE, ROW, text_of
+from varcost.llm.common import BLANK_RUN, FILE, ROW, place_of, positional, text_of
 from varcost.sinks.scratch import scratch_folder, stage
 
 _STATE_CONF = {
@@ -150,9 +150,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     content = f"{scratch_folder(spark)}/content-{uuid.uuid4().hex}"
-    docs.write.parquet(content)
-    kept = exact_dedup(spark, content, id_col, text_col).filter("kept").select(FILE, ROW)
-    located = spark.read.schema(docs.schema).parquet(content).withColumns({
+    plain = positional(docs)
+    plain.write.parquet(content)
+    kept = exact_dedup(spark, content, place_of(docs, id_col), place_of(docs, text_col)).filter("kept").select(FILE, ROW)
+    located = spark.read.schema(plain.schema).parquet(content).withColumns({
         FILE: F.xxhash64(F.col("_metadata.file_path")), ROW: F.col("_metadata.row_index"),
     })
-    return located.join(kept, [FILE, ROW], "left_semi").select(*docs.columns)
+    return located.join(kept, [FILE, ROW], "left_semi").select(*plain.columns).toDF(*docs.columns)

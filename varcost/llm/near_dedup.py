@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varcost.llm.common import FILE, ROW, Words, mix, record_batch, text_slices, with_locator
+from varcost.llm.common import FILE, ROW, Words, mix, place_of, positional, record_batch, text_slices, with_locator
 from varcost.sinks.scratch import stage
 
 SHINGLE_WORDS = 5
@@ -298,7 +298,8 @@ def near_dedup(
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` of which one stays per class, with all their columns."""
-    located = with_locator(docs, "documents")
-    found = near_dedup(located.select(FILE, ROW, id_col, text_col), id_col, text_col, **options)
+    plain = positional(docs)
+    located = with_locator(plain, "documents")
+    found = near_dedup(located, place_of(docs, id_col), place_of(docs, text_col), **options)
     kept = stage(found.filter("kept").select(FILE, ROW), "kept")
-    return located.join(kept, [FILE, ROW], "left_semi").select(*docs.columns)
+    return located.join(kept, [FILE, ROW], "left_semi").select(*plain.columns).toDF(*docs.columns)
