@@ -11,6 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from varcost.session import get_spark  # noqa: E402
+from workload.local import ensure_scratch  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
 
@@ -27,6 +28,7 @@ def main() -> None:
         "spark.driver.memory": "20g",
     })
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(spark)
 
     def run(name: str) -> float:
         start = time.perf_counter()

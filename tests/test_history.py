@@ -104,3 +104,21 @@ def test_as_of_month(snapshots, spark):
 def test_current_has_one_row_per_live_key(snapshots):
     current = scd2.current(scd2.history(snapshots, tracked=TRACKED))
     assert sorted(r["prestador_id"] for r in current.collect()) == ["gap", "late", "moves", "same"]
+
+
+def test_null_keys_survive_a_merge_and_new_keys_may_cover_the_past(spark):
+    schema = "prestador_id string, nombre string"
+    first = spark.createDataFrame([(None, "x"), ("P1", "a")], schema)
+    dimension = scd2.history({D1: first}, tracked=("nombre",))
+    second = spark.createDataFrame([(None, "x"), ("P1", "a"), ("P2", "b")], schema)
+    merged = scd2.merge_snapshot(dimension, second, D2, tracked=("nombre",), new_since=date(1900, 1, 1))
+    got = {r["prestador_id"]: r["fecha_inicio"] for r in merged.collect()}
+    assert got == {None: D1, "P1": D1, "P2": date(1900, 1, 1)}
+    assert scd2.merge_snapshot(merged, second, D3, tracked=("nombre",)).count() == 3
+
+
+def test_surrogate_keys_tell_null_parts_apart(spark):
+    from varcost.functions.keys import surrogate_key
+
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "x string, y string")
+    assert df.select(surrogate_key(df.x, df.y)).distinct().count() == 3

@@ -18,11 +18,13 @@ def con(small):
     return compare.connect(small)
 
 
-def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+def test_every_query_of_the_library_has_an_oracle():
+    from workload.queries import QUERIES as own
 
+    assert set(own) <= set(ORACLES) <= set(QUERIES)
 
-@pytest.mark.parametrize("name", list(QUERIES))
+
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, small, con, name):
     assert compare.differences(QUERIES[name](spark, small), con, ORACLES[name]) == []
 

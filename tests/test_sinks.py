@@ -44,14 +44,27 @@ def test_rows_are_sorted_on_the_cluster_columns(spark, tmp_path):
 
 def test_fallback_only_for_a_missing_format(spark, tmp_path):
     path = str(tmp_path / "fallback")
-    written = writers.write_table(sample(spark), "ds.t", fmt="bigquery", partition_by=["periodo"], fallback=path)
+    written = writers.write_table(sample(spark), "ds.t", fmt="bigquery", mode="append", partition_by=["periodo"], fallback=path)
     assert (written.fmt, written.target) == ("parquet", path)
     assert written.read(spark).count() == 6
     with pytest.raises(Exception, match="DATA_SOURCE_NOT_FOUND"):
         writers.write_table(sample(spark), "ds.t", fmt="bigquery")
     failing = sample(spark).withColumn("v", F.raise_error(F.lit("broken row")).cast("double"))
     with pytest.raises(Exception, match="broken row"):
-        writers.write_table(failing, str(tmp_path / "x"), fmt="json", options={"path": str(tmp_path / "x")}, fallback=path)
+        writers.write_table(failing, str(tmp_path / "x"), fmt="json", fallback=path)
+
+
+def test_a_rerun_in_another_file_format_keeps_the_other_months(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    writers.write_table(sample(spark), path, fmt="orc", partition_by=["periodo"])
+    before = spark.read.orc(path).count()
+    written = writers.write_table(sample(spark, ("202402",), 2.0), path, fmt="orc", partition_by=["periodo"])
+    assert written.read(spark).count() == before
+
+
+def test_a_connector_must_not_replace_a_whole_table_unasked(spark):
+    with pytest.raises(ValueError, match="replace the whole table"):
+        writers.write_table(sample(spark), "ds.t", fmt="bigquery", partition_by=["periodo"])
 
 
 def test_versions(spark, tmp_path):

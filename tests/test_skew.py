@@ -77,7 +77,7 @@ def test_rank_join_splits_the_hot_value(spark, costs):
 
 def test_total_join_splits_the_hot_provider(spark, costs):
     w = Window.partitionBy("prestador_id", "periodo")
-    want = costs.withColumn("t", F.sum(F.col("costo_real").cast("decimal(18,4)")).over(w).cast("double"))
+    want = costs.withColumn("t", F.sum(F.col("costo_real").cast("decimal(29,9)")).over(w).cast("double"))
     with conf(spark, SMALL):
         got = variance.with_provider_total(costs)
         assert "skew=true" in ran_plan(got)

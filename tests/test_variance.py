@@ -126,8 +126,15 @@ def test_money_sums_keep_values_a_decimal_cannot_hold(spark):
     got = {k: v for k, v in rows(df.groupBy("k").agg(money_sum(F.col("x"))))}
     assert (got["exact"], got["inf"], got["none"]) == (0.3, inf, None)
     assert math.isnan(got["nan"]) and math.isnan(got["both"])
+
+
+def test_money_sums_keep_small_and_large_amounts(spark):
+    from varcost.functions.variance import money_sum
+
+    for data, want in ((10 * [(0.00003,)], 0.0003), ([(1e15,), (1e15,)], 2e15)):
+        assert spark.createDataFrame(data, "x double").agg(money_sum(F.col("x"))).first()[0] == want
     with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
-        spark.createDataFrame([(1e15,)], "x double").agg(money_sum(F.col("x"))).collect()
+        spark.createDataFrame([(1e21,)], "x double").agg(money_sum(F.col("x"))).collect()
 
 
 def _reference_rank(df):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from varcost import constants as K
 
-MONEY = "decimal(18,4)"
+# Sums of it are the warehouse's NUMERIC, decimal(38,9).
+MONEY = "decimal(29,9)"
 
 
 def ratio(actual: Column, budget: Column) -> Column:

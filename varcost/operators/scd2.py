@@ -81,9 +81,13 @@ def merge_snapshot(
     tracked: Sequence[str] = PROVIDER_TRACKED,
     carried: Sequence[str] = (),
     sk: str = "prestador_sk",
+    new_since: date | None = None,
 ) -> DataFrame:
     """The dimension after one more full snapshot.
 
+    The first version of a key that had none begins at ``new_since`` (by default on the snapshot's date); a key
+    that appears again begins on the snapshot's date.
+
     Only current versions are joined with the snapshot; closed ones pass through. Merging the
     same snapshot again changes nothing, and a correction of the same date replaces the version
     it began. A snapshot older than a current version of one of its keys is an error.
@@ -101,14 +105,23 @@ def merge_snapshot(
         F.struct(*tracked).alias("_new"),
         F.struct(*tracked, *carried).alias("_new_row"),
     )
-    both = old.join(new, F.col("_key") == F.col("_new_key"), "full")
+    # Null-safe: a NULL key has versions like any other, as in history().
+    both = old.withColumn("_has_old", F.lit(True)).join(
+        new.withColumn("_has_new", F.lit(True)), F.col("_key").eqNullSafe(F.col("_new_key")), "full"
+    )
+    if new_since is not None:
+        ended_keys = closed.select(F.col(key).alias("_ended_key"), F.lit(True).alias("_known")).distinct()
+        both = both.join(ended_keys, F.col("_new_key").eqNullSafe(F.col("_ended_key")), "left")
 
     day = F.lit(on)
-    is_old, is_new = F.col("_key").isNotNull(), F.col("_new_key").isNotNull()
+    is_old, is_new = F.col("_has_old").isNotNull(), F.col("_has_new").isNotNull()
+    first_day = day if new_since is None else F.when(is_old | F.col("_known"), day).otherwise(F.lit(new_since))
     same = is_old & is_new & F.col("_old").eqNullSafe(F.col("_new"))
     in_order = F.when(
         F.col("_since") > day,
-        F.raise_error(F.concat(F.lit(f"snapshot {on} is older than the version of "), F.col("_key"))),
+        F.raise_error(
+            F.concat(F.lit(f"snapshot {on} is older than the version of "), F.coalesce(F.col("_key"), F.lit("NULL")))
+        ),
     ).otherwise(F.col("_since"))
 
     def version(state: Column, since: Column, until: Column) -> Column:
@@ -123,7 +136,7 @@ def merge_snapshot(
     open_end = F.lit(None)
     kept = F.when(same, version(F.col("_old_row"), in_order, open_end))
     ended = F.when(is_old & ~same & (in_order < day), version(F.col("_old_row"), in_order, day))
-    begun = F.when(is_new & ~same, version(F.col("_new_row"), day, open_end))
+    begun = F.when(is_new & ~same, version(F.col("_new_row"), first_day, open_end))
     merged = both.select(F.explode(F.array_compact(F.array(kept, ended, begun))).alias("v")).select("v.*")
     return _finish(closed.unionByName(merged), key, tracked, carried, sk)
 

@@ -16,7 +16,7 @@ from varcost.plans import audit
 from varcost.session import get_spark
 from varcost.sinks.scratch import scratch_folder, stage
 from varcost.sinks.versions import read_latest, write_version
-from varcost.sinks.writers import append_audit, write_report_json, write_table
+from varcost.sinks.writers import FILE_FORMATS, append_audit, write_report_json, write_table
 from varcost.sources.calendar import calendar
 from varcost.sources.demo import demo_frames
 from varcost.sources.readers import read_parquet
@@ -39,6 +39,13 @@ def landing_frames(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame
     )
 
 
+def calendar_span(costs: DataFrame) -> tuple[date, date]:
+    """The fixed span, extended to all months of the costs."""
+    month = F.try_to_date(F.col("periodo"), "yyyyMM")
+    low, high = costs.agg(F.min(month), F.max(month)).first()
+    return min(low or CALENDAR_FIRST, CALENDAR_FIRST), max(high or CALENDAR_LAST, CALENDAR_LAST)
+
+
 def quality_report(catalogue: DataFrame, providers: DataFrame, costs: DataFrame) -> DataFrame:
     """All suites of a run, one aggregate per data set."""
     suites = (
@@ -56,7 +63,7 @@ def merged_providers(
     if known is None:
         versions = scd2.history({BEGINNING: providers}, carried=AUDIT_COLUMNS)
     else:
-        versions = scd2.merge_snapshot(known, providers, on, carried=AUDIT_COLUMNS)
+        versions = scd2.merge_snapshot(known, providers, on, carried=AUDIT_COLUMNS, new_since=BEGINNING)
     return conform_to(versions, DIM_PROVIDER)
 
 
@@ -81,9 +88,9 @@ def run_monthly(
     """
     spark = spark or get_spark()
     run = run or star.Run.now()
+    if not use_mock and (landing is None or output is None):
+        raise ValueError("a production run needs the landing folder and the output folder")
     output = output or f"{scratch_folder(spark)}/warehouse"
-    if not use_mock and landing is None:
-        raise ValueError("a production run needs the landing folder")
     raw_catalogue, raw_providers, costs = demo_frames(spark) if use_mock else landing_frames(spark, landing)
 
     # Cleaned once; the checks, the dimensions and the fact all read the staged result.
@@ -103,7 +110,7 @@ def run_monthly(
     reports = quality.gate(summary) if fail_on_dq_error else quality.collect_summaries(summary)
 
     append_audit(report, f"{output}/dq_audit", run.run_id)
-    months = calendar(spark, CALENDAR_FIRST, CALENDAR_LAST)
+    months = calendar(spark, *calendar_span(costs))
     write_table(months, f"{output}/dim_tiempo")
     history_path = f"{output}/dim_prestador"
     merged = merged_providers(
@@ -121,8 +128,9 @@ def run_monthly(
     parquet_path = f"{output}/{spec.name}"
     written = write_table(
         fact,
-        parquet_path if fmt == "parquet" else f"{dataset}.{spec.name}",
+        parquet_path if fmt in FILE_FORMATS else f"{dataset}.{spec.name}",
         fmt,
+        mode="overwrite" if fmt in FILE_FORMATS else "append",
         partition_by=spec.partition_by,
         cluster_by=spec.cluster_by,
         options=options,

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from varcost.contracts import TableSpec
 
 
+# Formats that Spark writes as files, with partitions it can replace one by one.
+FILE_FORMATS = ("parquet", "orc", "json", "csv")
+
+
 class Written(NamedTuple):
     """Where a table went."""
 
@@ -43,22 +47,26 @@ def write_table(
     cluster_by: Sequence[str] = (),
     options: Mapping[str, str] | None = None,
     fallback: str | None = None,
+    replace_table: bool = False,
 ) -> Written:
     """Write a table and return where it went.
 
-    Parquet targets are paths; ``overwrite`` of a partitioned table replaces only the partitions
-    present in ``df``, so a rerun of a month leaves one copy. Other formats get their layout
-    through ``options``. If the format is not installed and ``fallback`` names a path, Parquet is
+    Targets of file formats are paths; ``overwrite`` of a partitioned table replaces only the partitions
+    present in ``df``, so a rerun of a month leaves one copy. Connectors get their layout through ``options``;
+    they cannot be told to replace single partitions, so ``overwrite`` of a partitioned table is refused
+    unless ``replace_table`` asks for it. If the format is not installed and ``fallback`` names a path, Parquet is
     written there instead; every other error is raised.
     """
-    if fmt == "parquet":
+    if fmt in FILE_FORMATS:
         writer = laid_out(df, partition_by, cluster_by).write.mode(mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
             if mode == "overwrite":
                 writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.options(**(options or {})).parquet(target)
+        writer.format(fmt).options(**(options or {})).save(target)
         return Written(fmt, target)
+    if mode == "overwrite" and partition_by and not replace_table:
+        raise ValueError(f"{fmt} may replace the whole table: append, or ask for it with replace_table")
     layout = {"table": target}
     if partition_by:
         layout["partitionField"] = partition_by[0]
@@ -70,7 +78,8 @@ def write_table(
     except (Py4JJavaError, PySparkException) as error:
         if fallback is None or "DATA_SOURCE_NOT_FOUND" not in str(error):
             raise
-    return write_table(df, fallback, "parquet", mode, partition_by, cluster_by)
+    # As files, partitions can be replaced one by one, so a rerun leaves one copy.
+    return write_table(df, fallback, "parquet", "overwrite" if partition_by else mode, partition_by, cluster_by)
 
 
 def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> Written:

@@ -39,7 +39,7 @@ lagged AS (
   SELECT *,
          lag(desvio_pct) OVER (PARTITION BY prestador_id, codigo_sns ORDER BY periodo)
            AS desvio_pct_anterior,
-         sum(costo_real::decimal(18,4)) OVER (PARTITION BY prestador_id, periodo)::double
+         sum(costo_real::decimal(29,9)) OVER (PARTITION BY prestador_id, periodo)::double
            AS costo_real_acum_prestador,
          rank() OVER (PARTITION BY periodo ORDER BY abs(desvio_pct) DESC NULLS LAST)
            AS rank_desvio_periodo
@@ -131,7 +131,7 @@ providers AS (SELECT * FROM normalised WHERE habilitado)"""
 
 def key(*parts: str) -> str:
     """The surrogate key over text expressions."""
-    joined = " || '|' || ".join(f"length({p})::varchar || ':' || {p}" for p in parts)
+    joined = " || '|' || ".join(f"coalesce(length({p})::varchar || ':' || {p}, '-')" for p in parts)
     return f"sha256({joined})"
 
 
@@ -352,11 +352,11 @@ FROM costs c LEFT JOIN history h ON c.prestador_id = h.prestador_id
 SELECT v.periodo_id, m.nombre_mes, m.anio, m.trimestre,
        count(DISTINCT v.prestador_id) AS total_prestadores,
        count(*) AS total_transacciones,
-       sum(costo_real::decimal(18,4))::double AS costo_real_total,
-       sum(costo_ppto::decimal(18,4))::double AS costo_ppto_total,
-       sum(desvio_abs_ars::decimal(18,4))::double AS desvio_total_ars,
-       sum(desvio_abs_ars::decimal(18,4))::double
-         / nullif(sum(costo_ppto::decimal(18,4))::double, 0) AS desvio_pct_consolidado,
+       sum(costo_real::decimal(29,9))::double AS costo_real_total,
+       sum(costo_ppto::decimal(29,9))::double AS costo_ppto_total,
+       sum(desvio_abs_ars::decimal(29,9))::double AS desvio_total_ars,
+       sum(desvio_abs_ars::decimal(29,9))::double
+         / nullif(sum(costo_ppto::decimal(29,9))::double, 0) AS desvio_pct_consolidado,
        count(*) FILTER (alerta_flag) AS total_alertas,
        count(*) FILTER (severidad = 'CRITICO') AS alertas_criticas,
        count(*) FILTER (tendencia = 'EMPEORA') AS tendencias_negativas
@@ -369,10 +369,10 @@ SELECT * FROM (
               AS rank_periodo
   FROM (
     SELECT v.prestador_id, h.nombre AS nombre_prestador, h.region, h.especialidad, v.periodo_id,
-           sum(costo_real::decimal(18,4))::double AS costo_real,
-           sum(costo_ppto::decimal(18,4))::double AS costo_ppto,
-           sum(desvio_abs_ars::decimal(18,4))::double
-             / nullif(sum(costo_ppto::decimal(18,4))::double, 0) AS desvio_pct_prestador,
+           sum(costo_real::decimal(29,9))::double AS costo_real,
+           sum(costo_ppto::decimal(29,9))::double AS costo_ppto,
+           sum(desvio_abs_ars::decimal(29,9))::double
+             / nullif(sum(costo_ppto::decimal(29,9))::double, 0) AS desvio_pct_prestador,
            count(*) FILTER (severidad = 'CRITICO') AS eventos_criticos,
            max(tendencia) AS tendencia_predominante
     FROM variance v LEFT JOIN history h ON v.prestador_id = h.prestador_id AND h.es_vigente
