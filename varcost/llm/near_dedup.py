@@ -11,7 +11,8 @@
 4. Pairs are verified on the exact probability Jaccard of the texts.
 5. What pivots leave open is completed exactly: one minus the similarity is a metric, so two nodes of a
    bucket can only be similar if their distances to the pivot differ by no more than the threshold allows.
-   Nodes of one bucket that are still in different classes and not ruled out are paired and verified.
+   Nor can two texts share more than the histograms of their shingles do. Nodes of one bucket that are still
+   in different classes and not ruled out are paired once, in their first common band, and verified.
 6. Classes are the connected components of the verified links.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varcost.llm.common import FILE, ROW, Words, mix, place_of, positional, record_batch, text_slices, with_locator
@@ -34,6 +35,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 20, 4
 # Pivots that all nodes of a bucket are compared with before the exact completion.
 PIVOTS = 2
+# Cells of the histogram of a text's shingles, which bounds what two texts share.
+CELLS = 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -85,6 +88,8 @@ def _nodes(size: int, bands: int, rows: int):
                 for k in range(rows):
                     keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + held[:, :, k])
                 words = data.tobytes().translate(_LOWER)
+                cell = owner * CELLS + (mix(hashes) % np.uint64(CELLS)).astype(np.int64)
+                cells = np.bincount(cell, minlength=n * CELLS).astype(np.int32)
                 digests = [
                     hashlib.blake2b(b" ".join(words[a:b].split()), digest_size=16).digest()
                     for a, b in zip(offsets[:-1], offsets[1:])
@@ -93,6 +98,8 @@ def _nodes(size: int, bands: int, rows: int):
                     *((name, batch.column(k).slice(first, n)) for k, name in enumerate((FILE, ROW, "doc_id"))),
                     ("node", pa.array(digests, pa.binary())),
                     ("n_shingles", pa.array(np.bincount(owner, minlength=n))),
+                    ("weight", pa.array(np.bincount(owner, weights, minlength=n).astype(np.int64))),
+                    ("cells", pa.ListArray.from_arrays(np.arange(0, (n + 1) * CELLS, CELLS, dtype=np.int32), pa.array(cells))),
                     ("keys", pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))),
                 ])
 
@@ -212,6 +219,23 @@ def _next_pivots(spread: DataFrame) -> DataFrame:
     return spread.drop("pivot").join(others, ["band", "key"])
 
 
+def _may_be_similar(threshold: float) -> Column:
+    """Whether the shingles of sides ``a`` and ``b`` can be as similar as the threshold.
+
+    Two texts share at most the smaller number of shingles of each cell. All others have a weight of one or more, so
+    parts p and q at least of the weights are not shared, and then the similarity is at most
+    (1 - p)(1 - q) / (1 - pq), which is the Jaccard similarity if no shingle repeats.
+    """
+    shared = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+
+    def enough(n: Column) -> Column:
+        p, q = (F.col("n_shingles_a") - n) / F.col("weight_a"), (F.col("n_shingles_b") - n) / F.col("weight_b")
+        return (1 - p) * (1 - q) >= threshold * (1 - p * q) - 1e-9
+
+    # A lambda's variable keeps the sum from being worked out anew wherever the formula names it.
+    return F.exists(F.array(shared), enough)
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -236,7 +260,7 @@ def near_dedup(
     rows = stage(
         located.select(FILE, ROW, "doc_id", "text").mapInArrow(
             _nodes(shingle_words, bands, band_rows),
-            f"{FILE} bigint, {ROW} bigint, doc_id {kind}, node binary, n_shingles bigint, keys array<bigint>",
+            f"{FILE} bigint, {ROW} bigint, doc_id {kind}, node binary, n_shingles bigint, weight bigint, cells array<int>, keys array<bigint>",
         ),
         "nodes",
     )
@@ -269,19 +293,26 @@ def near_dedup(
     rest = _unsettled(spread)
     main = rest.groupBy("band", "key", "class").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
     rest = stage(rest.join(main, ["band", "key"]), "rest")
-    seen = [f"s{turn}" for turn in range(PIVOTS)]
+    open_nodes = rest.select("node").distinct()
+    about = ["n_shingles", "weight", "cells", "keys"]
+    sketches = rows.join(open_nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in about))
+    rest = stage(rest.join(sketches.hint("merge"), "node"), "sketched")
+    about = ["node", "class", *about, *(f"s{turn}" for turn in range(PIVOTS))]
 
     def side(name: str) -> DataFrame:
-        return rest.select("band", "key", "main", F.col("node").alias(name), F.col("class").alias(f"class_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in seen))
+        return rest.select("band", "key", "main", *(F.col(c).alias(f"{c}_{name}") for c in about))
 
     left = side("a").filter("class_a <> main").drop("main")
     near = F.lit(True)
-    for c in seen:  # the difference of the distances to a pivot is a lower bound of the distance
-        near &= F.coalesce(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 1 - threshold + 1e-9, F.lit(True))
+    for turn in range(PIVOTS):  # the difference of the distances to a pivot is a lower bound of the distance
+        near &= F.coalesce(F.abs(F.col(f"s{turn}_a") - F.col(f"s{turn}_b")) <= 1 - threshold + 1e-9, F.lit(True))
+    first_band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == F.col("band") + 1
     open_pairs = (
         left.join(side("b"), ["band", "key"])
-        .filter((F.col("class_a") != F.col("class_b")) & ((F.col("a") < F.col("b")) | (F.col("class_b") == F.col("main"))) & near)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .filter(F.col("class_a") != F.col("class_b"))
+        .filter(((F.col("node_a") < F.col("node_b")) | (F.col("class_b") == F.col("main"))) & near)
+        .filter(first_band & _may_be_similar(threshold))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     )
     completed = _scored(open_pairs, texts, shingle_words, "rest").filter(F.col("similarity") >= threshold).select("a", "b")
     if completed.limit(1).count():
