@@ -231,3 +231,31 @@ def test_quality_on_held_out_documents(spark):
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0, 2, 1, 3, 4]), np.full(5, 4.0))
     assert (np.diff(y) > 0).all() and len(x) == len(y) == 4
+
+
+def test_histogram_bound_loses_no_similar_pair(spark, tmp_path):
+    prepare(spark)
+    rng = np.random.default_rng(5)
+    texts = []
+    for repeat in (1, 1, 3):  # with and without repeated shingles
+        base = [f"w{k}" for k in rng.integers(0, 500, 80)] * repeat
+        for changes in (0, 1, 1, 2, 2, 4, 8, 20):
+            words = list(base)
+            for at in rng.integers(0, len(words), changes):
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(words[: len(words) - int(rng.integers(0, 8))]))
+    kind = "__file bigint, __row bigint, doc_id bigint, node binary, n_shingles bigint, weight bigint, cells array<int>, keys array<bigint>"
+    rows = spark.createDataFrame([(0, k, k, t) for k, t in enumerate(texts)], "__file bigint, __row bigint, doc_id bigint, text string")
+    rows.mapInArrow(near_dedup._nodes(5, 20, 4), kind).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes").select("doc_id", "n_shingles", "weight", "cells")
+    a, b = (nodes.select(*(F.col(c).alias(f"{c}_{side}") for c in nodes.columns)) for side in "ab")
+    kept = a.join(b, F.col("doc_id_a") < F.col("doc_id_b")).filter(near_dedup._may_be_similar(0.8)).select("doc_id_a", "doc_id_b").collect()
+    kept = {tuple(r) for r in kept}
+
+    def shingles(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return near_dedup.weighted_shingles(data, np.array([0, len(data)]), 5)[1:]
+
+    known = [shingles(t) for t in texts]
+    similar = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.probability_jaccard(known[i], known[j]) >= 0.8}
+    assert similar and similar <= kept and len(kept) < len(texts) * (len(texts) - 1) / 2
