@@ -15,7 +15,7 @@ def catalogue(spark, *data):
 def test_demo_catalogue_keeps_the_latest_price(demo):
     got = cleaning.clean_catalogue(demo[0])
     assert rows(got.select("codigo_sns", "precio_ref"), "codigo_sns") == [
-        ("M001", 255.0), ("M002", 890.0), ("M003", 320.0),
+        ("N10", 432.0), ("N20", 15200.0), ("N30", 5100.0),
     ]
     assert {r["_source"] for r in got.collect()} == {"nomenclador_nacional"}
     assert got.filter("_ingestion_ts IS NULL").count() == 0
@@ -67,7 +67,7 @@ def test_ties_are_broken_by_content_whatever_the_order(spark):
 def test_demo_providers(demo):
     got = cleaning.clean_providers(demo[1])
     assert rows(got.select("prestador_id", "cuit", "cuit_valido", "region"), "prestador_id") == [
-        ("P001", "30712345678", True, "CABA"), ("P002", "20254321986", True, "GBA NORTE"),
+        ("H1", "33500012349", True, "PATAGONIA"), ("H2", "33500056781", True, "CUYO"),
     ]
     assert {r["_source"] for r in got.collect()} == {"listado_prestadores"}
 

@@ -32,7 +32,7 @@ def test_null_violations(spark):
 def test_typed_relation_rejects_nulls(spark):
     with pytest.raises(Exception, match="NULLABLE"):
         spark.createDataFrame([(None, "202401", "M", 1.0, 1.0, 1)], C.COSTS)
-    assert [df.count() for df in demo_frames(spark)] == [4, 3, 5]
+    assert [df.count() for df in demo_frames(spark)] == [4, 3, 6]
 
 
 def test_parquet_scan(spark, demo, tmp_path):

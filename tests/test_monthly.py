@@ -28,7 +28,7 @@ def demo_run(spark, tmp_path_factory):
 
 def test_result(spark, demo_run):
     base, result = demo_run
-    assert (result["run_id"], result["status"], result["records_fact"]) == ("20240301T060000", "SUCCESS", 5)
+    assert (result["run_id"], result["status"], result["records_fact"]) == ("20240301T060000", "SUCCESS", 6)
     assert {d: r["overall"] for d, r in result["dq"].items()} == {"nomenclador": "PASS", "prestadores": "PASS", "costos": "PASS"}
     assert result["smoke"] == {"integridad_prestador": 0, "alertas_sin_desvio": 0}
     assert len(gate_from_report(spark, f"{base}/dq")) == 3
@@ -42,8 +42,8 @@ def test_star(spark, demo_run):
     assert providers.count() == 3  # disabled providers stay in the history
     assert providers.columns == C.DIM_PROVIDER.names and catalogue.columns == C.DIM_CATALOGUE.names
     joined = fact.join(providers, "prestador_sk").join(catalogue, "medicamento_sk")
-    assert joined.count() == 5
-    assert fact.select("fact_id").distinct().count() == 5
+    assert joined.count() == 6
+    assert fact.select("fact_id").distinct().count() == 6
     assert rows(fact.select("run_id", "_pipeline_version").distinct()) == [("20240301T060000", "1.0.0")]
     assert fact.filter("_calc_ts IS NULL").count() == 0
 
@@ -80,19 +80,19 @@ def test_production_run_versions_providers(spark, tmp_path):
     raw, base = str(tmp_path / "raw"), str(tmp_path / "dw")
     run_monthly(spark, use_mock=False, landing=landing(spark, raw), output=base, run=FIRST)
     _, providers, _ = demo_frames(spark)
-    moved = providers.withColumn("region", F.when(F.col("prestador_id") == "P001", "NOA").otherwise(F.col("region")))
+    moved = providers.withColumn("region", F.when(F.col("prestador_id") == "H1", "NOA").otherwise(F.col("region")))
     landing(spark, raw, providers=moved)
-    run_monthly(spark, use_mock=False, landing=raw, output=base, run=SECOND, snapshot_date=date(2024, 2, 1))
+    run_monthly(spark, use_mock=False, landing=raw, output=base, run=SECOND, snapshot_date=date(2024, 4, 1))
     fact, history, _ = tables(spark, base)
-    assert rows(history.filter("prestador_id = 'P001'").select("region", "fecha_inicio", "fecha_fin"), "fecha_inicio") == [
-        ("CABA", date(1900, 1, 1), date(2024, 2, 1)), ("NOA", date(2024, 2, 1), None),
+    assert rows(history.filter("prestador_id = 'H1'").select("region", "fecha_inicio", "fecha_fin"), "fecha_inicio") == [
+        ("PATAGONIA", date(1900, 1, 1), date(2024, 4, 1)), ("NOA", date(2024, 4, 1), None),
     ]
-    seen = fact.filter("prestador_id = 'P001'").join(history, "prestador_sk").select("periodo", "region").distinct()
-    assert rows(seen, "periodo") == [("202401", "CABA"), ("202402", "NOA")]
+    seen = fact.filter("prestador_id = 'H1'").join(history, "prestador_sk").select("periodo", "region").distinct()
+    assert rows(seen, "periodo") == [("202403", "PATAGONIA"), ("202404", "NOA")]
 
 
 def test_orphans_point_to_the_unknown_member(spark, tmp_path):
-    costs = spark.createDataFrame([("P001", "202401", "M999", 1.0, 1.0, 1), ("P999", "202401", "M001", 1.0, 1.0, 1)], C.COSTS)
+    costs = spark.createDataFrame([("H1", "202401", "M999", 1.0, 1.0, 1), ("P999", "202401", "N10", 1.0, 1.0, 1)], C.COSTS)
     raw, base = landing(spark, str(tmp_path / "raw"), costs=costs), str(tmp_path / "dw")
     result = run_monthly(spark, use_mock=False, landing=raw, output=base, run=FIRST)
     fact, _, _ = tables(spark, base)
@@ -111,12 +111,12 @@ def test_gate_stops_before_any_write(spark, tmp_path):
     with pytest.raises(DataQualityError):
         gate_from_report(spark, str(tmp_path / "dq"))
     result = run_monthly(spark, use_mock=False, landing=raw, output=str(base), run=FIRST, fail_on_dq_error=False)
-    assert result["dq"]["nomenclador"]["overall"] == "FAIL" and result["records_fact"] == 5
+    assert result["dq"]["nomenclador"]["overall"] == "FAIL" and result["records_fact"] == 6
 
 
 def test_missing_format_falls_back_to_parquet(spark, tmp_path):
     result = run_monthly(spark, output=str(tmp_path), fmt="bigquery", dataset="dw", run=FIRST)
-    assert result["fact"].startswith(str(tmp_path)) and result["records_fact"] == 5
+    assert result["fact"].startswith(str(tmp_path)) and result["records_fact"] == 6
 
 
 def test_landing_needs_a_folder_and_its_contract(spark, tmp_path):
@@ -131,5 +131,5 @@ def test_command_line(spark, tmp_path, capsys):
     from varcost.__main__ import main
 
     main(["--use-mock", "--output", str(tmp_path), "--output-dq-report", str(tmp_path / "dq"), "--fail-on-dq-error"])
-    assert json.loads(capsys.readouterr().out)["records_fact"] == 5
+    assert json.loads(capsys.readouterr().out)["records_fact"] == 6
     assert len(gate_from_report(spark, str(tmp_path / "dq"))) == 3

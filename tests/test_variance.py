@@ -28,11 +28,12 @@ def test_demo_rows(full):
         "periodo", "rank_desvio_periodo",
     )
     assert got == [
-        ("P001", "202401", "M001", 0.25, 25000.0, True, "ALTO", 1, None, "NUEVO", 435000.0),
-        ("P001", "202401", "M003", 0.192308, 50000.0, True, "ALTO", 2, None, "NUEVO", 435000.0),
-        ("P002", "202401", "M003", 0.190476, 8000.0, True, "ALTO", 3, None, "NUEVO", 148000.0),
-        ("P002", "202401", "M002", -0.109091, -12000.0, False, "MODERADO", 4, None, "NUEVO", 148000.0),
-        ("P001", "202402", "M001", 0.35, 35000.0, True, "CRITICO", 1, 0.25, "EMPEORA", 135000.0),
+        ("H1", "202403", "N10", 0.3, 12000.0, True, "CRITICO", 1, None, "NUEVO", 77500.0),
+        ("H2", "202403", "N30", 0.22, 11000.0, True, "ALTO", 2, None, "NUEVO", 137000.0),
+        ("H2", "202403", "N20", -0.05, -4000.0, False, "MODERADO", 3, None, "NUEVO", 137000.0),
+        ("H1", "202403", "N30", 0.02, 500.0, False, "NORMAL", 4, None, "NUEVO", 77500.0),
+        ("H1", "202404", "N10", 0.15, 6000.0, True, "ALTO", 1, 0.3, "MEJORA", 46000.0),
+        ("H2", "202404", "N20", 0.125, 10000.0, False, "MODERADO", 2, -0.05, "EMPEORA", 90000.0),
     ]
 
 
@@ -40,19 +41,19 @@ def test_summaries(spark, full, demo):
     fact = full.withColumn("periodo_id", F.col("periodo"))
     months = calendar(spark, date(2020, 1, 1), date(2026, 12, 1))
     assert rows(marts.period_summary(fact, months), "periodo_id") == [
-        ("202401", "January", 2024, 1, 2, 4, 583000.0, 512000.0, 71000.0, 0.138671875, 3, 0, 0),
-        ("202402", "February", 2024, 1, 1, 1, 135000.0, 100000.0, 35000.0, 0.35, 1, 1, 1),
+        ("202403", "March", 2024, 1, 2, 4, 214500.0, 195000.0, 19500.0, 0.1, 2, 1, 0),
+        ("202404", "April", 2024, 2, 2, 2, 136000.0, 120000.0, 16000.0, 16 / 120, 1, 0, 1),
     ]
     history = demo[1].withColumn("es_vigente", F.lit(True))
     top = marts.top_providers(fact, history).select(
         "periodo_id", "prestador_id", F.round("desvio_pct_prestador", 6), "rank_periodo"
     )
     assert rows(top, "periodo_id", "rank_periodo") == [
-        ("202401", "P001", 0.208333, 1), ("202401", "P002", -0.026316, 2), ("202402", "P001", 0.35, 1),
+        ("202403", "H1", 0.192308, 1), ("202403", "H2", 0.053846, 2), ("202404", "H1", 0.15, 1), ("202404", "H2", 0.125, 2),
     ]
     marts.create_views(fact, months, history)
-    assert spark.sql("SELECT sum(total_alertas) FROM v_resumen_desvios_periodo").first()[0] == 4
-    assert spark.table("v_top_prestadores_desvio").count() == 3
+    assert spark.sql("SELECT sum(total_alertas) FROM v_resumen_desvios_periodo").first()[0] == 3
+    assert spark.table("v_top_prestadores_desvio").count() == 4
 
 
 def test_severity_profile_and_alert_checks(spark, full):
@@ -60,15 +61,15 @@ def test_severity_profile_and_alert_checks(spark, full):
         "severidad", "cantidad", F.round("desvio_min", 6), "desvio_max", F.round("desvio_avg", 6)
     )
     # Rows keep the order of the report: highest average first.
-    assert rows(profile)[:2] == [("CRITICO", 1, 0.35, 0.35, 0.35), ("ALTO", 3, 0.190476, 0.25, 0.210928)]
+    assert rows(profile)[:2] == [("CRITICO", 1, 0.3, 0.3, 0.3), ("ALTO", 2, 0.15, 0.22, 0.185)]
     assert audit.alerts_without_variance(full).first()["inconsistencias"] == 0
     planted = spark.createDataFrame([(None, True), (0.2, True), (None, None)], "desvio_pct double, alerta_flag boolean")
     assert rows(audit.alerts_without_variance(planted)) == [("alertas_sin_desvio", 1)]
 
 
 def test_orphans_are_counted_per_row(full, demo):
-    only_p001 = demo[1].filter("prestador_id = 'P001'")
-    assert rows(audit.orphan_facts(full, only_p001)) == [("integridad_prestador", 2)]
+    only_h1 = demo[1].filter("prestador_id = 'H1'")
+    assert rows(audit.orphan_facts(full, only_h1)) == [("integridad_prestador", 3)]
     assert rows(audit.orphan_facts(full, demo[1])) == [("integridad_prestador", 0)]
 
 
@@ -209,4 +210,4 @@ def test_predominant_trend_is_the_alphabetical_maximum(spark):
 
 
 def test_active_alerts(full):
-    assert variance.active_alerts(full).count() == 4
+    assert variance.active_alerts(full).count() == 3

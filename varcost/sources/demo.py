@@ -8,25 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from varcost.contracts import CATALOGUE, COSTS, PROVIDERS
 
-# Demo rows. M001 occurs twice with different dates, P003 is disabled, P001 gets
-# worse from one month to the next, and P002 stays below budget once.
+# Demo rows: N10 occurs twice with different dates, H3 is disabled, H2 gets worse from one month to the
+# next after a month below budget, H1 gets better, and every severity band occurs.
 CATALOGUE_ROWS = [
-    ("M001", "Ibuprofeno 400mg", "Bago", 250.50, "COMP", True, datetime(2024, 1, 1)),
-    ("M002", "Amoxicilina 500mg", "Pfizer", 890.00, "CAPS", True, datetime(2024, 1, 1)),
-    ("M003", "Metformina 850mg", "Roemmers", 320.00, "COMP", True, datetime(2024, 1, 1)),
-    ("M001", "Ibuprofeno 400mg", "Bago", 255.00, "COMP", True, datetime(2024, 3, 1)),
+    ("N10", "Losartán 50 mg", "Laboratorio Norte", 410.0, "COMP", True, datetime(2023, 7, 1)),
+    ("N20", "Insulina glargina", "Laboratorio Andes", 15200.0, "AMP", True, datetime(2023, 7, 1)),
+    ("N10", "Losartán 50 mg", "Laboratorio Norte", 432.0, "COMP", True, datetime(2024, 2, 1)),
+    ("N30", "Salbutamol aerosol", "Laboratorio Litoral", 5100.0, "AER", True, datetime(2023, 10, 1)),
 ]
 PROVIDER_ROWS = [
-    ("P001", "Clínica San Martín", "Clínica médica", "CABA", True, "30-71234567-8"),
-    ("P002", "Farmacia del Sol", "Farmacia", "GBA NORTE", True, "20-25432198-6"),
-    ("P003", "Centro Médico Sur", "Cardiología", "GBA SUR", False, "30-65432198-2"),
+    ("H1", "Hospital del Lago", "Medicina interna", "PATAGONIA", True, "33-50001234-9"),
+    ("H2", "Sanatorio Los Álamos", "Endocrinología", "CUYO", True, "33-50005678-1"),
+    ("H3", "Consultorios del Puerto", "Neumonología", "INTERIOR", False, "33-50009012-4"),
 ]
 COST_ROWS = [
-    ("P001", "202401", "M001", 125000.0, 100000.0, 500),
-    ("P001", "202402", "M001", 135000.0, 100000.0, 540),
-    ("P002", "202401", "M002", 98000.0, 110000.0, 110),
-    ("P002", "202401", "M003", 50000.0, 42000.0, 156),
-    ("P001", "202401", "M003", 310000.0, 260000.0, 970),
+    ("H1", "202403", "N10", 52000.0, 40000.0, 120),
+    ("H1", "202403", "N30", 25500.0, 25000.0, 5),
+    ("H2", "202403", "N20", 76000.0, 80000.0, 5),
+    ("H2", "202403", "N30", 61000.0, 50000.0, 12),
+    ("H1", "202404", "N10", 46000.0, 40000.0, 105),
+    ("H2", "202404", "N20", 90000.0, 80000.0, 6),
 ]
 
 
