@@ -176,6 +176,22 @@ def test_rank_of_one_hot_value_and_of_close_values(spark):
     assert got.count() == 6000
 
 
+def test_cells_are_fine_at_every_magnitude(spark):
+    n = 200_000
+    for low, step in ((70_000.0, 1.0), (64.0, 0.8 / n), (1e-9, 1e-14), (1e12, 1e7)):
+        df = spark.range(n).select((F.lit(low) + F.col("id") * step).alias("x"))
+        cells = ranking._digits(df, "x", ranking.DIGIT_BITS).groupBy("_digit0", "_digit1", "_digit2").count()
+        cell_count, largest = cells.agg(F.count("*"), F.max("count")).first()
+        assert cell_count > n / 20 and largest <= 40, (low, cell_count, largest)
+
+
+def test_octaves_are_exact_next_to_powers_of_two(spark):
+    values = [math.nextafter(2.0**e, to) for e in range(-1074, 1024, 3) for to in (0, 2.0**e, math.inf)]
+    df = spark.createDataFrame([(x,) for x in values if x > 0], "x double")
+    for x, octave in rows(ranking._digits(df, "x", (10,)).select("x", "_digit0")):
+        assert octave == math.frexp(x)[1] - 1, x
+
+
 def test_no_window_holds_a_whole_month_or_provider(demo, full):
     plan = plan_of(variance.budget_variance(demo[2]))
     windows = [line for line in plan.splitlines() if "windowspecdefinition(" in line]

@@ -4,8 +4,9 @@
 third of the table. Here the rank is a sum of counts instead:
 
 1. Equal values are counted first (map-side combine), which folds ties, however many.
-2. The distinct values are cut into cells by fixed binary digits of the value. Counts of cells
-   are tiny, and running sums over them give each cell its starting rank.
+2. The distinct values are cut into cells: by octave (the power of two below the value) and then by
+   fixed binary digits of the value within its octave, so every magnitude is cut equally finely.
+   Running sums over the counts of cells give each cell its starting rank.
 3. A window orders the distinct values inside one cell. Magnitudes must not be negative.
 4. The rank of each distinct value is joined back to the rows on (group, value). No later
    operator shares that stage's partitioning, so the adaptive planner may split a hot value.
@@ -23,28 +24,41 @@ from pyspark.sql import functions as F
 
 from varcost.functions.joins import join_null_safe
 
-# Bits of each digit below the binary point. A group has at most 64 * 2**10 + 3 cells at the
-# first level (values from 64 up share one), and a cell at most 2**16 at the second.
+# Bits of each digit of a value within its octave. A group has at most 2,102 octaves, an octave
+# 2**10 cells at the next level, and such a cell 2**16 at the last.
 DIGIT_BITS = (10, 16)
-_TOP = 64
-
-
-def _digits(score: Column, bits: Sequence[int]) -> list[Column]:
-    """Most significant first; larger scores never have smaller digits."""
-    overflow = score >= _TOP  # NaN compares as the largest value
-    scaled = score
-    digits = []
-    for width in bits:
-        scaled = scaled * (2.0**width)
-        digit = F.floor(scaled)
-        scaled = scaled - digit
-        digits.append(digit)
-    above = [F.lit(_TOP << bits[0]).cast("bigint"), *(F.lit(0).cast("bigint") for _ in bits[1:])]
-    if len(bits) > 1:
-        # Whole numbers tell large scores apart; NaN goes above them all.
-        whole = F.least(F.floor(score), F.lit((1 << bits[1]) - 1).cast("bigint"))
-        above[1] = F.when(F.isnan(score), F.lit(1 << bits[1]).cast("bigint")).otherwise(whole)
-    return [F.when(overflow, a).otherwise(d) for a, d in zip(above, digits)]
+
+# Octaves of the values that have none, around those of the doubles (-1074 to 1023).
+_NULL, _ZERO, _INFINITE, _NAN = -3000, -2000, 2000, 3000
+
+
+def _power_of_two(exponent: Column) -> Column:
+    return F.pow(F.lit(2.0), exponent.cast("double"))
+
+
+def _digits(df: DataFrame, score: str, bits: Sequence[int]) -> DataFrame:
+    """Add ``_digit0`` (the octave), ``_digit1``, ...; larger scores never have smaller digits."""
+    value = F.col(score)
+    regular = (value > 0) & (value < float("inf"))
+    # The logarithm may be off by one next to a power of two. Scaling by powers of two is exact, so
+    # comparing the scaled value with 1 and 2 mends that. Two steps, because 2**1074 is no double.
+    guess = F.when(regular, F.floor(F.log2(value)))
+    half = F.floor(F.col("_guess") / 2)
+    scaled = value * _power_of_two(-half) * _power_of_two(half - F.col("_guess"))
+    shift = F.when(F.col("_scaled") >= 2, 1).when(F.col("_scaled") < 1, -1).otherwise(0)
+    octave = (
+        F.when(F.isnan(value), _NAN).when(value < 0, _NULL).when(value == 0, _ZERO)
+        .when(regular, F.col("_guess") + F.col("_shift")).otherwise(_INFINITE)
+    )
+    df = df.withColumn("_guess", guess).withColumn("_scaled", scaled).withColumn("_shift", shift)
+    df = df.withColumn("_digit0", octave.cast("bigint"))
+    rest = F.coalesce(F.when(regular, F.col("_scaled") * _power_of_two(-F.col("_shift")) - 1), F.lit(0.0))
+    for i, width in enumerate(bits, 1):
+        rest = rest * (2.0**width)
+        digit = F.floor(rest)
+        df = df.withColumn(f"_digit{i}", digit)
+        rest = rest - digit
+    return df.drop("_guess", "_scaled", "_shift")
 
 
 def scored(magnitude: Column) -> Column:
@@ -64,29 +78,29 @@ def magnitude_ranks(
     More or wider digits make cells finer where very many distinct values lie close together;
     the result does not depend on them.
     """
-    cells = [f"_digit{i}" for i in range(len(digit_bits))]
-    distinct = (
-        df.groupBy(group, scored(magnitude).alias("_score"))
-        .agg(F.count("*").alias("_n"))
-        .withColumns(dict(zip(cells, _digits(F.col("_score"), digit_bits))))
-    )
-
-    ranked = _with_rows_above(distinct, [group, *cells], "_score")
-    # Add the rows in higher cells, from the finest level up.
-    counts = distinct
-    for depth in range(len(cells), 0, -1):
+    cells = [f"_digit{i}" for i in range(len(digit_bits) + 1)]
+    distinct = df.groupBy(group, scored(magnitude).alias("_score")).agg(F.count("*").alias("_n"))
+    distinct = _digits(distinct, "_score", digit_bits)
+
+    # Counts of cells, finest first; then the rows above each cell, added up from the coarsest level.
+    counts = [distinct.groupBy(group, *cells).agg(F.sum("_n").alias("_n"))]
+    for depth in range(len(cells) - 1, 0, -1):
+        counts.append(counts[-1].groupBy(group, *cells[:depth]).agg(F.sum("_n").alias("_n")))
+    starts = None
+    for depth, count in enumerate(reversed(counts), 1):
         level = [group, *cells[:depth]]
-        counts = counts.groupBy(*level).agg(F.sum("_n").alias("_n"))
-        above = _with_rows_above(counts, level[:-1], level[-1]).select(
-            *level, F.col("_above").alias("_cells_above")
-        )
-        # Null-safe even on digits: plain equality would make the optimiser add IS NOT NULL
-        # filters to some branches, which then could not share the shuffle of ``distinct``.
-        ranked = (
-            join_null_safe(ranked, above, level, "inner")
-            .withColumn("_above", F.col("_above") + F.col("_cells_above"))
-            .drop("_cells_above")
-        )
+        above = _with_rows_above(count, level[:-1], level[-1]).select(*level, "_above")
+        if starts is not None:
+            above = join_null_safe(above, starts, level[:-1], "inner")
+            above = above.withColumn("_above", F.col("_above") + F.col("_start"))
+        starts = above.select(*level, F.col("_above").alias("_start"))
+
+    # The distinct values move once, by their whole cell, which is small whatever the group.
+    # Null-safe even on digits: plain equality would make the optimiser add IS NOT NULL
+    # filters to some branches, which then could not share the shuffle of ``distinct``.
+    ranked = join_null_safe(
+        _with_rows_above(distinct, [group, *cells], "_score"), starts, [group, *cells], "inner"
+    ).withColumn("_above", F.col("_above") + F.col("_start"))
     return ranked.select(group, "_score", (F.col("_above") + 1).alias(name))
 
 
