@@ -51,12 +51,13 @@ def _digits(df: DataFrame, score: str, bits: Sequence[int]) -> DataFrame:
         .when(regular, F.col("_guess") + F.col("_shift")).otherwise(_INFINITE)
     )
     df = df.withColumn("_guess", guess).withColumn("_scaled", scaled).withColumn("_shift", shift)
-    df = df.withColumn("_digit0", octave.cast("bigint"))
+    # The default never applies; it tells the optimiser that digits are never NULL.
+    df = df.withColumn("_digit0", F.coalesce(octave.cast("bigint"), F.lit(0).cast("bigint")))
     rest = F.coalesce(F.when(regular, F.col("_scaled") * _power_of_two(-F.col("_shift")) - 1), F.lit(0.0))
     for i, width in enumerate(bits, 1):
         rest = rest * (2.0**width)
         digit = F.floor(rest)
-        df = df.withColumn(f"_digit{i}", digit)
+        df = df.withColumn(f"_digit{i}", F.coalesce(digit, F.lit(0).cast("bigint")))
         rest = rest - digit
     return df.drop("_guess", "_scaled", "_shift")
 
@@ -80,28 +81,28 @@ def magnitude_ranks(
     """
     cells = [f"_digit{i}" for i in range(len(digit_bits) + 1)]
     distinct = df.groupBy(group, scored(magnitude).alias("_score")).agg(F.count("*").alias("_n"))
-    distinct = _digits(distinct, "_score", digit_bits)
+    # A structure is never NULL, so plain equality joins its NULL groups, keeps the windows'
+    # partitioning, and adds no IS NOT NULL filters that would keep branches from sharing shuffles.
+    distinct = _digits(distinct, "_score", digit_bits).select(F.struct(group).alias("_group"), *cells, "_score", "_n")
 
     # Counts of cells, finest first; then the rows above each cell, added up from the coarsest level.
-    counts = [distinct.groupBy(group, *cells).agg(F.sum("_n").alias("_n"))]
+    counts = [distinct.groupBy("_group", *cells).agg(F.sum("_n").alias("_n"))]
     for depth in range(len(cells) - 1, 0, -1):
-        counts.append(counts[-1].groupBy(group, *cells[:depth]).agg(F.sum("_n").alias("_n")))
+        counts.append(counts[-1].groupBy("_group", *cells[:depth]).agg(F.sum("_n").alias("_n")))
     starts = None
     for depth, count in enumerate(reversed(counts), 1):
-        level = [group, *cells[:depth]]
+        level = ["_group", *cells[:depth]]
         above = _with_rows_above(count, level[:-1], level[-1]).select(*level, "_above")
         if starts is not None:
-            above = join_null_safe(above, starts, level[:-1], "inner")
-            above = above.withColumn("_above", F.col("_above") + F.col("_start"))
+            above = above.join(starts, level[:-1]).withColumn("_above", F.col("_above") + F.col("_start"))
         starts = above.select(*level, F.col("_above").alias("_start"))
 
     # The distinct values move once, by their whole cell, which is small whatever the group.
-    # Null-safe even on digits: plain equality would make the optimiser add IS NOT NULL
-    # filters to some branches, which then could not share the shuffle of ``distinct``.
-    ranked = join_null_safe(
-        _with_rows_above(distinct, [group, *cells], "_score"), starts, [group, *cells], "inner"
-    ).withColumn("_above", F.col("_above") + F.col("_start"))
-    return ranked.select(group, "_score", (F.col("_above") + 1).alias(name))
+    ranked = _with_rows_above(distinct, ["_group", *cells], "_score")
+    ranked = ranked.join(starts, ["_group", *cells])
+    return ranked.select(
+        F.col("_group")[group].alias(group), "_score", (F.col("_above") + F.col("_start") + 1).alias(name)
+    )
 
 
 def join_ranks(df: DataFrame, ranks: DataFrame, group: str, magnitude: Column) -> DataFrame:
