@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,97 @@ def test_katz_learns(spark, small):
         assert r["base_score"] == pytest.approx(base)
 
 
+def _tokens(text):
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    return (text or "").encode().translate(lower).split() + [b"\n"]
+
+
+def _katz_brute_force(texts, trained, order):
+    """log10 probability of each text by the recursive definition, and the factors of each order."""
+    grams = {n: collections.Counter() for n in range(order + 1)}
+    after = collections.defaultdict(set)
+    for k in trained:
+        padded = [None] * (order - 1) + _tokens(texts[k])
+        for at in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                gram = tuple(padded[at - n + 1:at + 1])
+                grams[n][gram] += 1
+                after[gram[:-1]].add(gram[-1])
+    factors = {}
+    for n in range(1, order + 1):
+        kinds = collections.Counter(grams[n].values())
+        rs = sorted(kinds)
+        edges = [0, *rs, 2 * rs[-1] - rs[-2]]
+        z = [math.log(kinds[r] / ((edges[k + 2] - edges[k]) / 2)) for k, r in enumerate(rs)]
+        fitted = np.polyfit(np.log(rs), z, 1)
+        smooth = {r: math.exp(np.polyval(fitted, math.log(r))) for r in range(1, 7)}
+        over = 6 * smooth[6] / smooth[1]
+        factors[n] = {r: ((r + 1) * smooth[r + 1] / smooth[r] / r - over) / (1 - over) for r in range(1, 6)}
+    total = sum(grams[1].values())
+    free = sum(c * (1 - factors[1].get(c, 1)) for c in grams[1].values())
+    context_count = collections.Counter()
+    for n in range(1, order + 1):
+        for gram, c in grams[n].items():
+            context_count[gram[:-1]] += c
+    weights = {}
+
+    def direct(gram):
+        c = grams[len(gram)][gram]
+        return c * factors[len(gram)].get(c, 1) / (context_count[gram[:-1]] + 0.1)
+
+    def probability(gram):
+        if len(gram) == 1:  # the model of single words gives no begin mark
+            return direct(gram) if grams[1][gram] else (free + 0.1) / (total + 0.1)
+        if grams[len(gram)][gram]:
+            return direct(gram)
+        context = gram[:-1]
+        if context not in weights:
+            weights[context] = 1.0
+            if context_count[context]:
+                seen = after[context]
+                weights[context] = (1 - sum(direct((*context, w)) for w in seen)) / (1 - sum(direct((*context[1:], w)) for w in seen))
+        return weights[context] * probability(gram[1:])
+
+    scores = []
+    for text in texts:
+        padded = [None] * (order - 1) + _tokens(text)
+        scores.append(sum(math.log10(probability(tuple(padded[at - order + 1:at + 1]))) for at in range(order - 1, len(padded))))
+    return scores, factors
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_matches_brute_force(spark, small, order):
+    prepare(spark)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    trained = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    ids = list(texts)
+    learned = [k for k, i in enumerate(ids) if zlib.crc32(str(i).encode()) % 10]
+    expected, factors = _katz_brute_force([texts[i] for i in ids], learned, order)
+    # Good-Turing factors hold without any fallback.
+    assert all(0 < d < 1 for by_count in factors.values() for d in by_count.values())
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs, trained, order=order, block_bytes=1 << 17, bucket_grams=20_000).collect()}
+    assert [got[i] for i in ids] == pytest.approx(expected, rel=1e-9)
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_tables_take_good_turing_factors(table, small):
+    docs = pq.read_table(f"{Path(small).parent}/{table}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    words, pairs = collections.Counter(), collections.Counter()
+    for i, text in zip(docs["doc_id"], docs["text"]):
+        if zlib.crc32(str(i).encode()) % 10:
+            tokens = _tokens(text)
+            words.update(tokens)
+            pairs.update(zip([None, *tokens], tokens))
+    for counts in (words, pairs):
+        kinds = collections.Counter(counts.values())
+        d = katz.discounts(list(kinds.values()), counts=list(kinds))[1:6]
+        absolute = 1 - kinds[1] / (kinds[1] + 2 * kinds[2]) / np.arange(1, 6)
+        assert (np.diff(d) > 0).all() and d[0] > 0 and d[-1] < 1 and (abs(d - absolute) > 1e-3).all()
+        rs = np.array(sorted(kinds))
+        assert katz.slope(np.array([float(kinds[r]) for r in rs]), rs) < -1
+
+
 def test_automaton_matches_greedy_search():
     rng = np.random.default_rng(2)
     letters = [b"a", b"b", b"c"]

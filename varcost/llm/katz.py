@@ -1,6 +1,6 @@
 """Language-model scoring by Katz backoff.
 
-Counts of n-grams are discounted after Good and Turing; what the discounts free is given to the words not seen after a
+Counts of n-grams are discounted after Good and Turing, with smoothed counts of counts; what the discounts free is given to the words not seen after a
 context, in proportion to the next shorter model, with weights that normalise exactly. Tokens are the
 lower-case (A-Z) words of a text and one end.
 
@@ -14,12 +14,14 @@ is ever collected or broadcast. A token that backs off needs its contexts' weigh
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varcost.llm.common import Words, mix, record_batch, text_of, text_slices
@@ -35,6 +37,8 @@ ADDED = 0.1
 # Text that one block takes, and n-grams that one bucket takes.
 BLOCK_BYTES = 8 << 20
 BUCKET_GRAMS = 2_000_000
+# Rows of results that are handed over at once.
+BATCH_ROWS = 1 << 16
 
 END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 
@@ -88,16 +92,19 @@ class Block:
         self.train = np.frombuffer(row["train"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.tokens = np.frombuffer(row["words"], np.uint64)[np.frombuffer(row["tokens"], np.uint32)]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        start = np.cumsum(self.sizes) - self.sizes
-        self.position = np.arange(len(self.tokens)) - start[self.doc]
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        start = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.position = np.arange(len(self.tokens), dtype=np.int32) - start[self.doc]
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n-gram that ends at each token; before a text there are begin marks."""
         out = np.full(len(self.tokens), n, np.uint64)
         for back in range(n - 1, -1, -1):
-            word = self.tokens[np.maximum(np.arange(len(self.tokens)) - back, 0)]
-            out = mix(out * np.uint64(0xD6E8FEB86659FD93) + np.where(self.position >= back, word, BEGIN))
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            word = np.full_like(out, BEGIN)
+            np.copyto(word[back:], self.tokens[:len(out) - back], where=self.position[back:] >= back)
+            out += word
+            out = mix(out)
         return out
 
     def contexts(self, n: int) -> np.ndarray:
@@ -184,34 +191,57 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per n: how many n-grams have each small count, how many have any, and all tokens."""
+    """Per n and count: how many n-grams have it. Different counts are few, at most the root of twice the tokens."""
+    found: dict[int, Counter] = defaultdict(Counter)
     for batch in batches:
         for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             values = _wide(data)
-            seen = (values >> 1)[(values & 1) == 1]
-            seen = seen[seen > 0]
-            yield record_batch([
-                ("n", pa.array([n], pa.int32())), ("kinds", pa.array([len(seen)], pa.int64())), ("total", pa.array([int(seen.sum())], pa.int64())),
-                ("small", pa.array([np.bincount(np.minimum(seen, RELIABLE + 2), minlength=RELIABLE + 3).tolist()], pa.list_(pa.int64()))),
-            ])
+            seen = values[(values & 1) == 1] >> 1
+            # Nearly all counts are small: those are not sorted.
+            small = np.bincount(seen[seen < 256], minlength=256)
+            counts, kinds = np.unique(seen[seen >= 256], return_counts=True)
+            found[n].update({r: int(small[r]) for r in np.flatnonzero(small).tolist() if r})
+            found[n].update(dict(zip(counts.tolist(), kinds.tolist())))
+    for n, kinds in found.items():
+        yield record_batch([
+            ("n", pa.array([n] * len(kinds), pa.int32())), ("count", pa.array(list(kinds), pa.int64())),
+            ("kinds", pa.array(list(kinds.values()), pa.int64())),
+        ])
+
 
+def slope(kinds: np.ndarray, counts: np.ndarray) -> float:
+    """Slope of log n[r] against log r over all counts r (rising), after Simple Good-Turing: n[r] is first spread over the gap
+    to its neighbours, so that the counts nobody has weigh in. NaN for fewer than two counts."""
+    if len(counts) < 2:
+        return np.nan
+    before = np.concatenate([[0], counts[:-1]])
+    after = np.append(counts[1:], 2 * counts[-1] - counts[-2])
+    x, y = np.log(counts), np.log(kinds / (0.5 * (after - before)))
+    x = x - x.mean()
+    return float((x * y).sum() / (x * x).sum())
 
-def discounts(small: Sequence[int], reliable: int = RELIABLE) -> np.ndarray:
+
+def discounts(kinds: Sequence[int], reliable: int = RELIABLE, counts: Sequence[int] | None = None) -> np.ndarray:
     """Katz's factors d[r] for counts r up to ``reliable`` (index 0 unused), 1 beyond.
 
-    Good-Turing counts (r + 1) n[r+1] / n[r], scaled so that counts beyond ``reliable`` stay. Where the counts of counts
-    do not give factors strictly between 0 and 1, an absolute discount n1 / (n1 + 2 n2) takes their place.
+    ``kinds[k]`` n-grams have the count ``counts[k]``, or k. Good-Turing counts (r + 1) n[r+1] / n[r], scaled so that counts
+    beyond ``reliable`` stay, with n[r] smoothed to a power of r (``slope``). They lie strictly between 0 and 1 for every r
+    if the slope is below -1. A factor that does not is replaced by that of an absolute discount n1 / (n1 + 2 n2).
     """
-    n = np.asarray(small, float)
-    d = np.ones(reliable + 2)
+    n, at = np.asarray(kinds, float), np.arange(len(kinds)) if counts is None else np.asarray(counts, np.int64)
+    order = np.argsort(at)
+    order = order[(n[order] > 0) & (at[order] > 0)]
+    n, at = n[order], at[order]
+    power = slope(n, at) + 1
     r = np.arange(1, reliable + 1)
-    if (n[1:reliable + 2] > 0).all():
-        over = (reliable + 1) * n[reliable + 1] / n[1]
-        if over < 1:
-            d[1:reliable + 1] = ((r + 1) * n[2:reliable + 2] / n[1:reliable + 1] / r - over) / (1 - over)
-    if not ((d[1:reliable + 1] > 0) & (d[1:reliable + 1] < 1)).all():
-        cut = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        d[1:reliable + 1] = (r - cut) / r
+    # (r + 1) n[r+1] / (r n[r]), and (reliable + 1) n[reliable + 1] / n[1].
+    left, over = (1 + 1 / r) ** power, (reliable + 1.0) ** power
+    with np.errstate(divide="ignore", invalid="ignore"):
+        factors = (left - over) / (1 - over)
+    one, two = (float(n[at == k].sum()) for k in (1, 2))
+    cut = one / (one + 2 * two) if one and two else 0.5
+    d = np.ones(reliable + 2)
+    d[1:reliable + 1] = np.where((left < 1) & (factors > 0) & (factors < 1), factors, (r - cut) / r)
     return d
 
 
@@ -259,49 +289,68 @@ def _score(model: Model, order: int):
     orders = range(1, order + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         for _, row in _block_rows(batches):
             block = Block(row)
             total, context, owned = _counts(block, row["answers"], orders, model.docs)
             c = total[1]
-            base = np.log10((c + ADDED) / (model.tokens + ADDED * (model.words + 1)))
-            every = np.full(len(c), model.tokens)
-            prob = np.where(c > 0, model.seen(1, c, every), model.unknown)
-            level = np.ones(len(c), np.int64)
-            direct = {1: prob}
-            for n in orders[1:]:
-                direct[n] = model.seen(n, total[n], context[n])
-                level = np.where(total[n] > 0, n, level)
-            best = np.choose(level - 1, [direct[n] for n in orders])
             docs = len(block.sizes)
             sums = lambda x: np.bincount(block.doc, weights=x, minlength=docs)
-            yield _rows("text", block.rows, {
-                "x": sums(base), "y": sums(np.log10(best)), "n": block.sizes, "m": sums(c > 0).astype(np.int64),
+            base = sums(np.log10((c + ADDED) / (model.tokens + ADDED * (model.words + 1))))
+            level = np.ones(len(c), np.int8)
+            direct = {1: np.where(c > 0, model.seen(1, c, model.tokens), model.unknown)}
+            best = direct[1].copy()
+            for n in orders[1:]:
+                direct[n] = model.seen(n, total[n], context[n])
+                np.copyto(level, n, where=total[n] > 0)
+                np.copyto(best, direct[n], where=total[n] > 0)
+            yield from _rows("text", block.rows, {
+                "x": base, "y": sums(np.log10(best)), "n": block.sizes, "m": sums(c > 0).astype(np.int64),
             })
             for n in orders[1:]:
                 names = block.contexts(n)
                 at = owned[n][total[n][owned[n]] > 0]
                 if len(at):
                     keys, index = np.unique(names[at], return_inverse=True)
-                    yield _rows("context", keys.view(np.int64), {
+                    yield from _rows("context", keys.view(np.int64), {
                         "x": np.bincount(index, weights=direct[n][at]), "y": np.bincount(index, weights=direct[n - 1][at]),
                         "n": np.full(len(keys), n), "m": np.zeros(len(keys), np.int64),
                     })
                 # Weights are needed where the n-gram is unseen but its context is known.
                 off = np.flatnonzero((level < n) & (context[n] > 0))
                 if len(off):
-                    pairs = np.stack([block.rows[block.doc[off]], names[off].view(np.int64)], axis=1)
-                    pairs, times = np.unique(pairs, axis=0, return_counts=True)
-                    yield _rows("backoff", pairs[:, 0], {"x": times.astype(float), "y": np.zeros(len(times)), "n": np.full(len(times), n), "m": pairs[:, 1]})
+                    doc, name = block.doc[off], names[off].view(np.int64)
+                    by = np.lexsort((name, doc))
+                    doc, name = doc[by], name[by]
+                    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (name[1:] != name[:-1])]))
+                    times = np.diff(np.append(at, len(doc)))
+                    yield from _rows("backoff", block.rows[doc[at]], {"x": times, "y": np.zeros(len(times)), "n": np.full(len(times), n), "m": name[at]})
 
     return score
 
 
-def _rows(kind: str, keys: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return record_batch([
-        ("kind", pa.array([kind] * len(keys), pa.string())), ("key", pa.array(np.ascontiguousarray(keys))),
-        ("x", pa.array(values["x"].astype(float))), ("y", pa.array(values["y"].astype(float))),
-        ("n", pa.array(values["n"].astype(np.int64))), ("m", pa.array(np.ascontiguousarray(values["m"]))),
-    ])
+def _rows(kind: str, keys: np.ndarray, values: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """In batches of bounded size: a batch is in memory on both sides at once."""
+    for at in range(0, len(keys), BATCH_ROWS):
+        part = slice(at, at + BATCH_ROWS)
+        n = len(keys[part])
+        yield record_batch([
+            ("kind", pa.array([kind] * n, pa.string())), ("key", pa.array(np.ascontiguousarray(keys[part]))),
+            ("x", pa.array(values["x"][part].astype(float))), ("y", pa.array(values["y"][part].astype(float))),
+            ("n", pa.array(values["n"][part].astype(np.int64))), ("m", pa.array(np.ascontiguousarray(values["m"][part]))),
+        ])
+
+
+@contextmanager
+def _single_rows(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands rows to Python one by one: a block with its answers is large enough for a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def katz_scores(
@@ -341,25 +390,28 @@ def katz_scores(
         .groupBy("n", "bucket").applyInArrow(_add_up, "n int, bucket int, block bigint, totals binary"),
         "totals",
     )
-    small = (
-        answers.select("n", "totals").mapInArrow(_histogram, "n int, kinds bigint, total bigint, small array<bigint>")
-        .groupBy("n").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total"), *(F.sum(F.get("small", F.lit(r))).alias(f"r{r}") for r in range(RELIABLE + 3)))
+    kinds = (
+        answers.select("n", "totals").mapInArrow(_histogram, "n int, count bigint, kinds bigint")
+        .groupBy("n", "count").agg(F.sum("kinds").alias("kinds"))
     )
-    stats = {s["n"]: s for s in small.collect()}  # one row per order
+    stats = {n: {} for n in orders}
+    for s in kinds.collect():  # a row per order and count that occurs
+        stats[s["n"]][s["count"]] = s["kinds"]
     trained = names.filter("train").count()
-    factors = {n: discounts([stats[n][f"r{r}"] or 0 for r in range(RELIABLE + 3)]) if n in stats else np.ones(RELIABLE + 2) for n in orders}
-    one = stats.get(1)
-    tokens = one["total"] if one else 0
-    cut = sum((one[f"r{r}"] or 0) * r * (1 - factors[1][r]) for r in range(1, RELIABLE + 1)) if one else 0
+    factors = {n: discounts(list(found.values()), counts=list(found)) for n, found in stats.items()}
+    one = stats[1]
+    tokens = sum(r * k for r, k in one.items())
+    cut = sum(one.get(r, 0) * r * (1 - factors[1][r]) for r in range(1, RELIABLE + 1))
     # What the words seen leave goes to the one unknown word.
-    model = Model(tokens, one["kinds"] if one else 0, trained, factors, (cut + RESERVE) / (tokens + RESERVE))
+    model = Model(tokens, sum(one.values()), trained, factors, (cut + RESERVE) / (tokens + RESERVE))
 
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))
-    scored = stage(
-        blocks.join(gathered.hint("merge"), "block")
-        .mapInArrow(_score(model, order), "kind string, key bigint, x double, y double, n bigint, m bigint"),
-        "scored",
-    )
+    with _single_rows(docs.sparkSession):
+        scored = stage(
+            blocks.join(gathered.hint("merge"), "block")
+            .mapInArrow(_score(model, order), "kind string, key bigint, x double, y double, n bigint, m bigint"),
+            "scored",
+        )
     weights = (
         scored.filter("kind = 'context'").groupBy("n", F.col("key").alias("context"))
         .agg(F.sum("x").alias("seen"), F.sum("y").alias("below"))
