@@ -99,6 +99,32 @@ def test_near_classes_match_brute_force(spark, small):
     assert got == {i: find(i) for i in docs}
 
 
+def _prefix_pair(shared, union, name):
+    """Texts of distinct words, the second a prefix of the first: this many shingles shared and in all."""
+    words = [f"{name}w{k}" for k in range(union + 4)]
+    return " ".join(words), " ".join(words[:shared + 4])
+
+
+def test_pairs_at_the_threshold_are_similar(spark):
+    prepare(spark)
+    sizes = [(4 * k, 5 * k) for k in (3, 12, 16, 32, 100)]
+    below = [(79, 100), (11, 14)]
+    rows = [(10 * i + j, t) for i, s in enumerate(sizes + below) for j, t in enumerate(_prefix_pair(*s, f"p{i}"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs).collect()}
+    for i in range(len(sizes)):
+        assert got[10 * i + 1] == 10 * i, sizes[i]
+    for i in range(len(sizes), len(rows) // 2):
+        assert got[10 * i + 1] == 10 * i + 1
+
+
+def test_equal_weights_are_exact_at_the_threshold():
+    for k in range(1, 401):
+        hashes = np.arange(5 * k, dtype=np.uint64)
+        weights = np.ones(5 * k)
+        assert near_dedup.probability_jaccard((hashes, weights), (hashes[:4 * k], weights[:4 * k])) == 0.8
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -37,6 +37,8 @@ BANDS, BAND_ROWS = 20, 4
 PIVOTS = 2
 # Cells of the histogram of a text's shingles, which bounds what two texts share.
 CELLS = 256
+# Rounding that the sum of a similarity may have; a pair at the threshold is similar.
+ROUNDING = 1e-9
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -121,8 +123,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     u, v = wa[ia], wb[ib]
     only_a, only_b = wa.sum() - u.sum(), wb.sum() - v.sum()
     if (u == v).all():
-        # All ratios are equal: the larger term is u for a's own elements and v for b's.
-        return float((u / (u.sum() + only_a + only_b)).sum())
+        # All ratios are equal: the larger term is u for a's own elements and v for b's. Weights are whole numbers, so
+        # their sums are exact and one division is right to the last bit, also at the threshold.
+        return float(u.sum() / (u.sum() + only_a + only_b))
     ratio = u / v
     order = np.argsort(ratio, kind="stable")
     u, v, ratio = u[order], v[order], ratio[order]
@@ -230,7 +233,7 @@ def _may_be_similar(threshold: float) -> Column:
 
     def enough(n: Column) -> Column:
         p, q = (F.col("n_shingles_a") - n) / F.col("weight_a"), (F.col("n_shingles_b") - n) / F.col("weight_b")
-        return (1 - p) * (1 - q) >= threshold * (1 - p * q) - 1e-9
+        return (1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING
 
     # A lambda's variable keeps the sum from being worked out anew wherever the formula names it.
     return F.exists(F.array(shared), enough)
@@ -283,7 +286,7 @@ def near_dedup(
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         )
         scored = _scored(pairs, texts, shingle_words, f"star{turn}")
-        found = scored.filter(F.col("similarity") >= threshold).select("a", "b")
+        found = scored.filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
         links = found if links is None else links.unionByName(found)
         classes = components(links)
         spread = stage(_with_similarity(spread.drop("class"), scored, classes, turn), f"spread{turn}")
@@ -305,7 +308,7 @@ def near_dedup(
     left = side("a").filter("class_a <> main").drop("main")
     near = F.lit(True)
     for turn in range(PIVOTS):  # the difference of the distances to a pivot is a lower bound of the distance
-        near &= F.coalesce(F.abs(F.col(f"s{turn}_a") - F.col(f"s{turn}_b")) <= 1 - threshold + 1e-9, F.lit(True))
+        near &= F.coalesce(F.abs(F.col(f"s{turn}_a") - F.col(f"s{turn}_b")) <= 1 - threshold + ROUNDING, F.lit(True))
     first_band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == F.col("band") + 1
     open_pairs = (
         left.join(side("b"), ["band", "key"])
@@ -314,7 +317,7 @@ def near_dedup(
         .filter(first_band & _may_be_similar(threshold))
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     )
-    completed = _scored(open_pairs, texts, shingle_words, "rest").filter(F.col("similarity") >= threshold).select("a", "b")
+    completed = _scored(open_pairs, texts, shingle_words, "rest").filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
     if completed.limit(1).count():
         classes = components(links.unionByName(completed))
 
