@@ -6,6 +6,7 @@ import math
 import sys
 import zlib
 from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -377,3 +378,11 @@ def test_histogram_bound_loses_no_similar_pair(spark, tmp_path):
     known = [shingles(t) for t in texts]
     similar = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.probability_jaccard(known[i], known[j]) >= 0.8}
     assert similar and similar <= kept and len(kept) < len(texts) * (len(texts) - 1) / 2
+
+
+def test_long_header_lines_are_read():
+    url = "http://x/" + "\u6f22" * 230_000  # nine characters each
+    record = warc.encode_record("1", url, b"payload", None, False, "2020-01-01T00:00:00Z", 6)
+    found = list(warc.read_records(io.BytesIO(record * 2), with_payload=True))
+    assert [(unquote(r["target_uri"]), r["payload"]) for r in found] == [(url, b"payload")] * 2
+    assert len(found[0]["target_uri"]) > 2_000_000

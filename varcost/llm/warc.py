@@ -165,11 +165,16 @@ class Member:
         return True
 
     def line(self) -> bytes:
+        """The next line, of any length: the writer puts a whole url into one."""
+        parts = []
         while b"\r\n" not in self._buffer:
-            if len(self._buffer) > 1 << 20 or not self._more():
+            # The last byte stays, it may be half of the line's end.
+            parts.append(self._buffer[:-1])
+            self._buffer = self._buffer[-1:]
+            if not self._more():
                 raise ValueError("a header line does not end")
         line, self._buffer = self._buffer.split(b"\r\n", 1)
-        return line
+        return b"".join((*parts, line))
 
     def read(self, size: int) -> Iterator[bytes]:
         """Exactly ``size`` bytes, in pieces."""
