@@ -21,12 +21,14 @@ MIN_QUALITY = 0.7
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least the limit; the classifier learns as in op1."""
+    """Documents whose quality score is at least the limit; the classifier learns as in op1. All stay if nothing could be learned."""
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     plain, key = positional(docs), place_of(docs, "doc_id")
     labels = labels.select(F.col("doc_id").alias(key), "quality")
-    scored = quality.quality_scores(plain, labels, learn=fold(key, 4) != 2, id_col=key, text_col=place_of(docs, "text"))
+    scored = quality.quality_scores(
+        plain, labels, learn=fold(key, 4) != 2, id_col=key, text_col=place_of(docs, "text"), unlearned=1.0
+    )
     return scored.filter(F.col("score") >= MIN_QUALITY).select(*plain.columns).toDF(*docs.columns)
 
 

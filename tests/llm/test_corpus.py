@@ -386,3 +386,18 @@ def test_long_header_lines_are_read():
     found = list(warc.read_records(io.BytesIO(record * 2), with_payload=True))
     assert [(unquote(r["target_uri"]), r["payload"]) for r in found] == [(url, b"payload")] * 2
     assert len(found[0]["target_uri"]) > 2_000_000
+
+
+def test_quality_with_few_or_no_labels(spark, tables, tmp_path):
+    prepare(spark)
+    docs = spark.read.parquet(f"{tables}/full/documents.parquet")
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    got = quality.quality_scores(docs, none, F.lit(True)).collect()
+    assert len(got) == len(ROWS) and {r["score"] for r in got} == {0.5}
+    none.write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.reject_low_quality(spark, docs, str(tmp_path)).count() == len(ROWS)
+    # One label that is not kept for the calibration.
+    stats = [0.0] * quality.STATISTICS
+    keys = spark.range(50).filter(F.pmod(F.xxhash64("id", F.lit(quality.SEED + 1)), F.lit(4)) != 0).limit(1)
+    scorer = quality.fit(keys.select(F.col("id").alias("key"), F.lit(1).alias("label"), F.array(*map(F.lit, stats)).alias("stats")))
+    assert scorer.probability(np.zeros((1, quality.STATISTICS)))[0] == 1

@@ -20,6 +20,8 @@ from varcost.llm.common import RunningHash, Words, record_batch, text_slices
 from varcost.sinks.scratch import stage
 
 FEATURES = 256
+# Columns of ``statistics``.
+STATISTICS = 22
 RIDGE = 1e-3
 SEED = 20
 # Labelled rows that the classifier is fitted on at most, chosen by hash.
@@ -86,7 +88,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
             distinct, top, distinct_pairs, top_pair, odd / many, loud / many, mean, np.sqrt(np.maximum(square - mean**2, 0)),
             distinct_lines, top_line,
         ]) * (sizes > 0)[:, None])
-    return np.concatenate(out) if out else np.zeros((0, 23))
+    return np.concatenate(out) if out else np.zeros((0, STATISTICS))
 
 
 def text_statistics(text: Column) -> Column:
@@ -140,12 +142,13 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit(
-    described: DataFrame, n_features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS
+    described: DataFrame, n_features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS,
+    unlearned: float = 0.5,
 ) -> Scorer:
     """Fit on rows ``key, stats, label``; rows without a label are ignored, and beyond ``max_fit_rows`` rows a share
     is chosen by hash of the key. A quarter of the rows, also by hash, is kept for the calibration.
 
-    Without rows every score is 0.5. What comes to the driver is of fixed size: sums, two matrices' worth of normal
+    Without rows every score is ``unlearned``. What comes to the driver is of fixed size: sums, two matrices' worth of normal
     equations per partition, of which there are at most ``FIT_PARTITIONS``, and binned counts.
     """
     known = described.filter("label IS NOT NULL AND stats IS NOT NULL")
@@ -162,7 +165,9 @@ def fit(
 
     parts = known.select("stats").mapInArrow(moments, "n bigint, total array<double>, square array<double>").collect()
     if not parts:
-        return Scorer(np.zeros(1), np.ones(1), n_features, seed)
+        scorer = Scorer(np.zeros(STATISTICS), np.ones(STATISTICS), n_features, seed)
+        scorer.steps = np.array([0.0]), np.array([unlearned])
+        return scorer
     count = sum(p["n"] for p in parts)
     mean = sum(np.array(p["total"]) for p in parts) / count
     variance = sum(np.array(p["square"]) for p in parts) / count - mean**2
@@ -186,16 +191,19 @@ def fit(
             place = np.round((scorer.raw(_matrix(batch)) + 0.5) / 2 * CALIBRATION_BINS).astype(np.int64)
             yield record_batch([("bin", pa.array(place)), ("label", batch.column("label"))])
 
-    bins = (
-        known.filter("calibrate").select("stats", F.col("label").cast("double").alias("label"))
-        .mapInArrow(binned, "bin bigint, label double")
-        .groupBy("bin").agg(F.sum("label").alias("positives"), F.count("*").alias("total")).orderBy("bin").collect()
-    )
-    if bins:
-        scorer.steps = isotonic(
-            np.array([b["bin"] / CALIBRATION_BINS * 2 - 0.5 for b in bins]), np.array([b["positives"] for b in bins]),
-            np.array([float(b["total"]) for b in bins]),
+    def rates(rows: DataFrame) -> list:
+        return (
+            rows.select("stats", F.col("label").cast("double").alias("label"))
+            .mapInArrow(binned, "bin bigint, label double")
+            .groupBy("bin").agg(F.sum("label").alias("positives"), F.count("*").alias("total")).orderBy("bin").collect()
         )
+
+    # With very few labels none may be kept for the calibration; then the fitted ones serve.
+    bins = rates(known.filter("calibrate")) or rates(known)
+    scorer.steps = isotonic(
+        np.array([b["bin"] / CALIBRATION_BINS * 2 - 0.5 for b in bins]), np.array([b["positives"] for b in bins]),
+        np.array([float(b["total"]) for b in bins]),
+    )
     return scorer
 
 
@@ -221,7 +229,7 @@ def quality_scores(
     The classifier learns from the labelled rows for which ``learn`` is true. Label, id and all columns but the text are no
     inputs of a score. NULL and empty texts have the same score, from statistics that are all 0. Of a repeated
     label the largest counts; NULL labels and ids are not learned from. Repeated rows are scored alike. Without
-    labels every score is 0.5. An empty table gives an empty result. A column named ``score`` is replaced.
+    labels every score is 0.5, or the option ``unlearned``. An empty table gives an empty result. A column named ``score`` is replaced.
     """
     columns = [c for c in docs.columns if c != "score"]
     known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("label")).filter("key IS NOT NULL AND label IS NOT NULL")
