@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from varcost.llm import decontamination, exact_dedup, katz, line_dedup, near_dedup, packing, quality, repeats, token_counts, warc  # noqa: E402
 from varcost.llm.queries import QUERIES, VOCABULARY  # noqa: E402
+from varcost.sinks.scratch import scratch_folder  # noqa: E402
 from workload.local import prepare  # noqa: E402
 
 PROSE = " ".join(f"word{k % 97}x{k % 31}" for k in range(400))
@@ -401,3 +402,47 @@ def test_quality_with_few_or_no_labels(spark, tables, tmp_path):
     keys = spark.range(50).filter(F.pmod(F.xxhash64("id", F.lit(quality.SEED + 1)), F.lit(4)) != 0).limit(1)
     scorer = quality.fit(keys.select(F.col("id").alias("key"), F.lit(1).alias("label"), F.array(*map(F.lit, stats)).alias("stats")))
     assert scorer.probability(np.zeros((1, quality.STATISTICS)))[0] == 1
+
+
+def test_pipeline_stages_match_brute_force(spark, small):
+    scratch = Path(scratch_folder(spark).removeprefix("file:"))
+    before = set(scratch.glob("pipeline-*"))
+    packed = corpus_pipeline.run(spark, small).collect()
+    (folder,) = set(scratch.glob("pipeline-*")) - before
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = [{r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/{k}").collect()} for k in range(4)]
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    scored = quality.quality_scores(docs, labels, learn=F.crc32(F.col("doc_id").cast("string")) % 4 != 2).collect()
+    assert set(kept[0]) == {r["doc_id"] for r in scored if r["score"] >= 0.7} and 0 < len(kept[0]) < len(scored)
+
+    groups = collections.defaultdict(list)
+    for i, t in kept[0].items():
+        groups[b"".join(t.encode().split())].append((-len(t), i))
+    assert set(kept[1]) == {min(g)[1] for g in groups.values()}
+
+    def shingles(text, lower):
+        w = lower(text).split()
+        return collections.Counter(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else {}
+
+    near = {i: shingles(t, lambda t: t.encode().lower()) for i, t in kept[1].items()}
+    ids, classes = sorted(near), {i: i for i in near}
+    for x, i in enumerate(ids):
+        for j in ids[x + 1:]:
+            a, b = near[i], near[j]
+            both = [d for d in a if d in b]
+            if len(both) < 0.5 * min(len(a), len(b)):
+                continue
+            every = set(a) | set(b)
+            similar = sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in every) for d in both)
+            if similar >= 0.8 - 1e-9 or not (a or b):
+                low, high = sorted((classes[i], classes[j]))
+                classes = {k: low if c == high else c for k, c in classes.items()}
+    assert set(kept[2]) == set(classes.values())
+
+    items = [set(shingles(r["text"] or "", str.lower)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    own = {i: set(shingles(t, str.lower)) for i, t in kept[2].items()}
+    assert set(kept[3]) == {i for i, s in own.items() if not any(m and len(m & s) >= 0.8 * len(m) for m in items)}
+    sums = collections.Counter()
+    for r in packed:
+        sums[r["doc_id"]] += r["n_tokens"]
+    assert sums == {i: len(t.encode().split()) + 1 for i, t in kept[3].items()}
