@@ -93,10 +93,109 @@ SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN gone USING (r)
 """
 
+
+def _field(value: str) -> str:
+    """A value with its byte count, or a dash for NULL."""
+    return f"coalesce(strlen(({value})::varchar)::varchar || ':' || ({value})::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(f) for f in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# Reflected CRC-32, a bit at a time.
+_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::ubigint)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))),
+  4294967295::ubigint)"""
+
+
+def _climb(name: str, start: str, nodes: str, same: str) -> str:
+    """Rows climb from node to parent, gathering siblings; \"here\" has one child less than two at the root."""
+    return f"""
+{name} AS (
+  {start}
+  UNION ALL
+  SELECT w.r, w.grp, w.i // 2, w.lvl + 1, w.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN s.h IS NULL THEN w.fold WHEN w.i % 2 = 1 THEN s.h || w.fold ELSE w.fold || s.h END)
+  FROM {name} w
+  JOIN {nodes} o ON {same.format("o")} AND o.lvl = w.lvl AND o.i = w.i AND o.c > 1
+  LEFT JOIN {nodes} s ON {same.format("s")} AND s.lvl = w.lvl AND s.i = xor(w.i, 1)
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("n_chars")} AS h,
+               CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS t
+        FROM documents)
+),
+nodes AS (
+  SELECT lang, 0 AS lvl, i, h, n AS c FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (c + 1) // 2 FROM nodes WHERE c > 1 GROUP BY lang, lvl, i // 2, c
+),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE c = 1
+),
+tops AS (
+  SELECT 0 AS lvl, i, h, n AS c FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (c + 1) // 2 FROM tops WHERE c > 1 GROUP BY lvl, i // 2, c
+),{_climb("ways", "SELECT r, lang AS grp, i, 0 AS lvl, '' AS proof, t AS fold FROM leaves", "nodes", "{0}.lang IS NOT DISTINCT FROM w.grp")},
+ends AS (SELECT w.* FROM ways w JOIN nodes o ON o.lang IS NOT DISTINCT FROM w.grp AND o.lvl = w.lvl AND o.i = w.i AND o.c = 1),{_climb("on_top", "SELECT e.r, e.grp, s.i, 0 AS lvl, e.proof, e.fold FROM ends e JOIN subroots s ON s.lang IS NOT DISTINCT FROM e.grp", "tops", "TRUE")}
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, top.h AS root, sha256(w.proof) AS proof_sha256, w.fold AS folded_root,
+       w.fold = top.h AS verified
+FROM leaves l
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+JOIN on_top w ON w.r = l.r
+JOIN tops top ON top.c = 1 AND top.lvl = w.lvl
+"""
+
+DIVERGENCE = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM t
+),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM t) LEFT JOIN sums s USING (lang, source)
+),
+shares AS (
+  SELECT lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.n + 2 * l.v) AS p,
+         1 + (1000000000::hugeint * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::bigint AS value, rank::int AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_line_dedup": LINE_DEDUP,
     "op7_warc": WARC,
     "op8_repeats": REPEATS,
     "op10_decontamination": DECONTAMINATION,
+    "op11_merkle": MERKLE,
+    "op13_divergence": DIVERGENCE,
 }

@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varcost.llm import (
-    decontamination, exact_dedup, katz, line_dedup, near_dedup, packing, quality, repeats, token_counts, warc,
+    decontamination, divergence, exact_dedup, katz, line_dedup, merkle, near_dedup, packing, quality, repeats, token_counts, warc,
+    windows,
 )
 from varcost.llm.common import fold
 from workload.local import prepare
 
 # The vocabulary that token counts are made with; only its path is known here.
 VOCABULARY = os.environ.get("VARCOST_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# The tokenizer that windows are packed with; without a path, the public file of that name.
+TOKENIZER = os.environ.get("VARCOST_TOKENIZER")
+
+
+def tokenizer_path() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +99,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", *_long("n_item", "n_shared"), "containment")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = [F.col("n_chars") + 1 if f == "n_chars" else F.col(f) for f in fields]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.hex_of(merkle.leaf_digest(changed)))
+    proofs = merkle.merkle_proofs(_table(spark, sf_dir, "documents"), fields, also={"tampered": tampered})
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_exact_dedup": op2_exact_dedup,
@@ -99,4 +129,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle": op11_merkle,
+    "op12_windows": op12_windows,
+    "op13_divergence": op13_divergence,
 }
