@@ -21,11 +21,13 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,18 +45,51 @@ MEMORY_WORDS, MEMORY_BYTES = 1 << 20, 64 << 20
 # Bounds what is broadcast: a tokenizer file is of fixed size, whatever the data.
 MAX_TOKENIZER_BYTES = 64 << 20
 
-# How the tokenizer cuts lower-case text of printable ASCII before it looks for pieces.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# How the tokenizer cuts normalised words before it looks for pieces; words are joined by one blank here.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+| ")
+_LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+| ")
+# Words they are used for: printable ASCII, and the Latin blocks up to U+024F in UTF-8, whose classes are settled.
+_ASCII = re.compile(rb"[!-~]+")
+_LATIN = re.compile(rb"(?:[!-~]|\xc2[\xa1-\xbf]|[\xc3-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
 
 # Tokens ------------------------------------------------------------------------------------
 
 
+class _Pieces(dict):
+    """Number of each piece of a word seen so far; 0 is the blank between words. Their ids come from a tokenizer's model."""
+
+    def __init__(self, model):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__({" ": 0})
+        self._model, self._bytes = model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self._ids, self._ends = array("I"), array("q", [0])
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        spelled = piece if piece.isascii() else self._bytes.pre_tokenize_str(piece)[0][0]
+        self._ids.extend([t.id for t in self._model.tokenize(spelled)])
+        self._ends.append(len(self._ids))
+        return number
+
+    def cut(self, pattern, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words joined by one blank, and how many each word has."""
+        parts = pattern.findall(text)
+        number = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        ends = np.array(self._ends)
+        sizes = np.diff(ends, prepend=0)[number]
+        total = np.cumsum(sizes)
+        at = np.repeat(ends[number] - total, sizes) + np.arange(total[-1])
+        last = np.append(np.flatnonzero(number == 0), len(number) - 1)
+        return np.array(self._ids, np.uint32)[at], np.diff(total[last], prepend=0)
+
+
 class Encoder:
     """Ids of texts by a tokenizer that drops white space, remembering the words it has seen.
 
-    Words of printable ASCII go to the tokenizer's model directly, since its normaliser and byte mapping do nothing to
-    them but lower-casing; all others go through the whole tokenizer. Strings of special tokens are ordinary text.
+    Words of printable ASCII and Latin letters are normalised together, cut here, and their pieces go to the tokenizer's model;
+    all others go through the whole tokenizer. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, definition: str, memory_words: int = MEMORY_WORDS, memory_bytes: int = MEMORY_BYTES):
@@ -63,39 +98,38 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_str(definition)
         self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
         self._limits = memory_words, memory_bytes
         self._forget()
 
     def _forget(self) -> None:
         self._place: dict[bytes, int] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces = _Pieces(self._tokenizer.model)
         self._bytes = 0
         # Ids of all words remembered, and where each word's begin (one more than there are words).
         self._ids, self._bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
-    def _plain(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for part in _ASCII_WORDS.findall(word.lower()):
-            piece = self._pieces.get(part)
-            if piece is None:
-                piece = self._pieces[part] = [t.id for t in self._model.tokenize(part)]
-            ids += piece
-        return ids
-
     def _learn(self, chunks: list[bytes]) -> None:
-        words = [c.decode() for c in chunks]
-        plain = [w.isascii() and w.isprintable() for w in words]
-        others = iter(self._tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        lists = [self._plain(w) if p else next(others).ids for w, p in zip(words, plain)]
+        kinds: tuple[list[bytes], ...] = ([], [], [])
+        for chunk in chunks:
+            kinds[0 if _ASCII.fullmatch(chunk) else 1 if _LATIN.fullmatch(chunk) else 2].append(chunk)
+        ascii_words, latin, others = kinds
+        if ascii_words:
+            self._add(ascii_words, *self._pieces.cut(_ASCII_WORDS, b" ".join(ascii_words).decode().lower()))
+        if latin:
+            text = self._tokenizer.normalizer.normalize_str(b" ".join(latin).decode())
+            self._add(latin, *self._pieces.cut(_LATIN_WORDS, text))
+        if others:
+            found = self._tokenizer.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+            lists = [e.ids for e in found]
+            self._add(others, np.array([i for ids in lists for i in ids], np.uint32), np.array([len(ids) for ids in lists]))
+
+    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, filled = len(self._place), int(self._bounds[len(self._place)])
-        ends = filled + np.cumsum([len(ids) for ids in lists])
-        self._bounds = _grown(self._bounds, n + len(lists) + 1)
-        self._bounds[n + 1:n + len(lists) + 1] = ends
-        self._ids = _grown(self._ids, int(ends[-1]))
-        self._ids[filled:ends[-1]] = [i for ids in lists for i in ids]
-        for k, chunk in enumerate(chunks):
-            self._place[chunk] = n + k
+        self._bounds = _grown(self._bounds, n + len(chunks) + 1)
+        self._bounds[n + 1:n + len(chunks) + 1] = filled + np.cumsum(sizes)
+        self._ids = _grown(self._ids, filled + len(ids))
+        self._ids[filled:filled + len(ids)] = ids
+        self._place.update(zip(chunks, range(n, n + len(chunks))))
         self._bytes += sum(map(len, chunks))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
