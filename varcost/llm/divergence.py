@@ -1,6 +1,7 @@
 """How far the vocabularies of sources drift apart, by chunk factorization.
 
-1. Texts are read in *blocks*. A block keeps its different whitespace chunks, and of each document how often it has which.
+1. Texts are read in *blocks*. A block keeps its different whitespace chunks, without the bytes around them that no term holds, and
+   of each document how often it has which.
 2. The chunks of all blocks are counted, and each globally distinct chunk is cut into terms once.
 3. A term cannot be in more documents than its chunks are, so terms that cannot reach the limit are dropped there, before
    anything moves back. No term is lost by that.
@@ -29,6 +30,7 @@ from varcost.sinks.scratch import stage
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 # Fixed value: shares are counted in units of one over this.
 SCALE = 1_000_000_000
+_TERM_BYTE = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 MIN_DOCS = 10
 TOP_TERMS = 10
 # Text that one block takes, and that is cut into chunks at once.
@@ -54,7 +56,7 @@ class _Block:
 
     def add(self, langs: list[str], sources: list[str], data: np.ndarray, offsets: np.ndarray) -> None:
         data = lowered(data)
-        starts, ends, texts = chunk_spans(data, offsets)
+        starts, ends, texts = trimmed(data, *chunk_spans(data, offsets))
         found, index = distinct_chunks(data, starts, ends)
         place = np.fromiter((self._place.setdefault(c, len(self._place)) for c in found), np.int64, len(found))
         # Each document's chunks, with their counts.
@@ -65,7 +67,13 @@ class _Block:
             self._docs = np.concatenate([self._docs, np.zeros(2 * len(self._place) - len(self._docs), np.int64)])
         np.add.at(self._docs, chunk, 1)
         groups = [self._groups.setdefault(g, len(self._groups)) for g in zip(langs, sources)]
-        self._parts.append((np.array(groups, np.uint32), np.bincount(doc, minlength=len(langs)).astype(np.uint32), chunk.astype(np.uint32), times.astype(np.uint32)))
+        # Chunks of a document rise, so that differences of neighbours are small.
+        order = np.lexsort((chunk, doc))
+        chunk, times, sizes = chunk[order], times[order], np.bincount(doc, minlength=len(langs))
+        step = np.diff(chunk, prepend=0)
+        begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+        step[begin] = chunk[begin]
+        self._parts.append((np.array(groups, np.int64), sizes, step, times))
         self.size += len(data)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -76,13 +84,33 @@ class _Block:
                 self.name, place=pa.array(np.arange(at, at + len(part))), chunk=pa.array(part, pa.binary()).cast(pa.string()),
                 docs=pa.array(self._docs[at:at + len(part)]), n=len(part),
             )
-        payload = {k: pa.array([np.concatenate(p).tobytes()], pa.binary()) for k, p in zip(_PAYLOAD, zip(*self._parts))}
+        payload = {k: pa.array([packed(np.concatenate(p))], pa.binary()) for k, p in zip(_PAYLOAD, zip(*self._parts))}
         langs, sources = zip(*self._groups)
         lists = {"langs": pa.array([langs], pa.list_(pa.string())), "sources": pa.array([sources], pa.list_(pa.string()))}
         yield _row(self.name, n=1, **payload, **lists)
 
 
-_PAYLOAD = ("doc_groups", "doc_sizes", "pair_chunks", "pair_times")
+def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks from their first to their last byte that terms are made of; chunks without such a byte go."""
+    of_term = _TERM_BYTE[data]
+    at, before = np.flatnonzero(of_term), np.concatenate([[0], np.cumsum(of_term)])
+    some = before[starts] < before[ends]
+    first, last = at[before[starts[some]]], at[before[ends[some]] - 1] + 1
+    return first, last, np.concatenate([[0], np.cumsum(some)])[texts]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, all lowest bytes first and all highest, which are mostly 0, last; compressed."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+_PAYLOAD = ("doc_groups", "doc_sizes", "pair_steps", "pair_times")
 _BLOCK_TYPES = {
     "block": pa.int64(), "place": pa.int64(), "chunk": pa.string(), "docs": pa.int64(), **{k: pa.binary() for k in _PAYLOAD},
     "langs": pa.list_(pa.string()), "sources": pa.list_(pa.string()),
@@ -120,7 +148,10 @@ def _count_terms(terms: pa.Table, blocks: pa.Table) -> pa.Table:
     if not terms.num_rows or not blocks.num_rows:
         return pa.table({k: pa.array([], t) for k, t in kinds.items()})
     row = blocks.to_pylist()[0]
-    groups, sizes, chunks, times = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in _PAYLOAD)
+    groups, sizes, steps, times = (unpacked(row[k]) for k in _PAYLOAD)
+    chunks = np.cumsum(steps)
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    chunks -= np.repeat(chunks[begin] - steps[begin], sizes[sizes > 0])
     lists = terms["terms"].combine_chunks()
     words = lists.flatten().dictionary_encode()
     ids, vocabulary = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary
