@@ -16,6 +16,7 @@ def main(argv: list[str] | None = None) -> dict:
     parser.add_argument("--output", help="warehouse folder")
     parser.add_argument("--format", default="parquet", help="format of the fact table")
     parser.add_argument("--dataset", help="data set of the fact table for other formats")
+    parser.add_argument("--database", help="catalogue database whose tables and views show the warehouse")
     parser.add_argument("--output-dq-report", help="where to write the quality report as JSON")
     parser.add_argument(
         "--fail-on-dq-error", action=argparse.BooleanOptionalAction, default=True,
@@ -29,6 +30,7 @@ def main(argv: list[str] | None = None) -> dict:
         output=args.output,
         fmt=args.format,
         dataset=args.dataset,
+        database=args.database,
         dq_report_path=args.output_dq_report,
         fail_on_dq_error=args.fail_on_dq_error,
     )

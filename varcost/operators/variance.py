@@ -96,18 +96,23 @@ def with_provider_total(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     return join_null_safe(df, provider_totals(df, spec), [spec.provider, spec.month])
 
 
-def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
-    """Every variance column of the fact.
+def with_totals_and_ranks(trended: DataFrame, banded: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
+    """Add provider totals and month ranks to the rows of ``banded`` as they are in ``trended``.
 
     Totals and ranks are taken from the costs themselves, so each reads only the columns it
     needs from the scan.
     """
-    banded = with_bands(with_ratio(costs, spec), spec)
     totals, ranks = provider_totals(banded, spec), month_ranks(banded, spec)
-    whole = join_null_safe(with_trend(banded, spec), totals, [spec.provider, spec.month])
+    whole = join_null_safe(trended, totals, [spec.provider, spec.month])
     return join_ranks(whole, ranks, spec.month, F.abs("desvio_pct"))
 
 
+def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
+    """Every variance column of the fact, of costs that hold the whole series."""
+    banded = with_bands(with_ratio(costs, spec), spec)
+    return with_totals_and_ranks(with_trend(banded, spec), banded, spec)
+
+
 def active_alerts(variance: DataFrame) -> DataFrame:
     """Rows whose variance reaches the alert threshold."""
     return variance.filter("alerta_flag")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varcost import constants as K
+
 
 def orphan_facts(fact: DataFrame, providers: DataFrame) -> DataFrame:
     """How many fact rows name a provider the dimension lacks."""
@@ -16,6 +18,15 @@ def orphan_facts(fact: DataFrame, providers: DataFrame) -> DataFrame:
     )
 
 
+def orphan_keys(fact: DataFrame) -> DataFrame:
+    """How many fact rows point to the unknown member of each dimension, whether or not the natural key is known."""
+    unknown = {"prestador_sk": "integridad_prestador_sk", "medicamento_sk": "integridad_medicamento_sk"}
+    counts = fact.agg(*(F.count_if(F.col(c) == K.UNKNOWN_KEY).alias(c) for c in unknown))
+    return counts.select(F.inline(F.array(*(
+        F.struct(F.lit(test).alias("test"), F.col(c).alias("huerfanos")) for c, test in unknown.items()
+    ))))
+
+
 def alerts_without_variance(fact: DataFrame) -> DataFrame:
     """How many alerts are active although the variance is missing."""
     return fact.agg(

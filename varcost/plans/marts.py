@@ -62,6 +62,6 @@ def top_providers(fact: DataFrame, provider_history: DataFrame, top: int = K.TOP
 
 
 def create_views(fact: DataFrame, months: DataFrame, provider_history: DataFrame) -> None:
-    """Register both reports as temporary views for SQL readers."""
+    """Register both reports as temporary views; lasting ones are in ``sinks.warehouse``."""
     period_summary(fact, months).createOrReplaceTempView("v_resumen_desvios_periodo")
     top_providers(fact, provider_history).createOrReplaceTempView("v_top_prestadores_desvio")

@@ -13,8 +13,8 @@ def _text(value: str) -> str:
     return f"'{escaped}'"
 
 
-def create_table_sql(spec: TableSpec, database: str) -> str:
-    """Idempotent CREATE TABLE with defaults, comments, labels and partitions.
+def create_table_sql(spec: TableSpec, database: str, location: str | None = None) -> str:
+    """Idempotent CREATE TABLE with defaults, comments, labels and partitions; at ``location`` if one is given.
 
     Spark does not enforce NOT NULL on Parquet tables; required columns are declared in the
     ``required`` property and counted by the data-quality suites.
@@ -36,6 +36,7 @@ def create_table_sql(spec: TableSpec, database: str) -> str:
         # INSERT OVERWRITE replaces the partitions it writes, from SQL as well.
         f"OPTIONS (partitionOverwriteMode 'dynamic')\nPARTITIONED BY ({', '.join(spec.partition_by)})"
         if spec.partition_by else "",
+        f"LOCATION {_text(location)}" if location else "",
         f"COMMENT {_text(spec.comment)}",
         "TBLPROPERTIES (" + ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items()) + ")",
     ]

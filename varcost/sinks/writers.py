@@ -7,7 +7,9 @@ from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from varcost.contracts import TableSpec
 
@@ -22,8 +24,10 @@ class Written(NamedTuple):
     fmt: str
     target: str
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.format(self.fmt).load(self.target)
+    def read(self, spark: SparkSession, schema: StructType | None = None) -> DataFrame:
+        """The table; without its ``schema``, months that folder names hold are read as numbers."""
+        reader = spark.read.format(self.fmt)
+        return (reader if schema is None else reader.schema(schema)).load(self.target)
 
 
 def laid_out(df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -48,6 +52,8 @@ def write_table(
     options: Mapping[str, str] | None = None,
     fallback: str | None = None,
     replace_table: bool = False,
+    observation: Observation | None = None,
+    metrics: Sequence[Column] = (),
 ) -> Written:
     """Write a table and return where it went.
 
@@ -56,9 +62,14 @@ def write_table(
     they cannot be told to replace single partitions, so ``overwrite`` of a partitioned table is refused
     unless ``replace_table`` asks for it. If the format is not installed and ``fallback`` names a path, Parquet is
     written there instead; every other error is raised.
+
+    ``metrics`` are aggregates that ``observation`` takes of the rows as they are written to files, in the tasks that write them;
+    rows that go to a connector are not observed.
     """
+
     if fmt in FILE_FORMATS:
-        writer = laid_out(df, partition_by, cluster_by).write.mode(mode)
+        rows = laid_out(df, partition_by, cluster_by)
+        writer = (rows if observation is None else rows.observe(observation, *metrics)).write.mode(mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
             if mode == "overwrite":
@@ -79,7 +90,10 @@ def write_table(
         if fallback is None or "DATA_SOURCE_NOT_FOUND" not in str(error):
             raise
     # As files, partitions can be replaced one by one, so a rerun leaves one copy.
-    return write_table(df, fallback, "parquet", "overwrite" if partition_by else mode, partition_by, cluster_by)
+    return write_table(
+        df, fallback, "parquet", "overwrite" if partition_by else mode, partition_by, cluster_by,
+        observation=observation, metrics=metrics,
+    )
 
 
 def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> Written:
@@ -100,4 +114,4 @@ def write_report_json(summary: DataFrame, path: str) -> None:
 
 def append_audit(report: DataFrame, path: str, run_id: str) -> None:
     """Keep a run's check results in the audit table; rerunning a run id replaces its rows."""
-    write_table(report.selectExpr("*", f"'{run_id}' AS run_id"), path, partition_by=("run_id",))
+    write_table(report.withColumn("run_id", F.lit(run_id)), path, partition_by=("run_id",))

@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from varcost.contracts import enforce_contract
+from varcost.contracts import ContractError, enforce_contract
+from varcost.sources.footers import EXTRA, contract_problems
 
 CORRUPT = "_corrupt_record"
+# Departures from a contract that an error names; the rest is in ``contract_problems``.
+MAX_TOLD = 20
 
 
 def read_parquet(spark: SparkSession, path: str, contract: StructType) -> DataFrame:
-    """Scan Parquet; a missing or mistyped column raises before any row is read.
+    """Scan Parquet; a column that is missing or mistyped in any file raises before any row is read.
 
     Reading with the files' own schema and comparing it is stricter than
-    ``read.schema(contract)``, which turns a missing column into NULLs.
+    ``read.schema(contract)``, which turns a missing column into NULLs. Spark takes that schema from one file, so of a table of
+    several files every footer is compared, by tasks.
     """
-    return enforce_contract(spark.read.parquet(path), contract)
+    scan = spark.read.parquet(path)
+    files = scan.inputFiles()
+    if len(files) > 1:
+        problems = contract_problems(spark, files, contract, [c for c in scan.columns if f"/{c}=" in files[0]])
+        bad = problems.filter(F.col("problema") != EXTRA).orderBy("file", "columna").limit(MAX_TOLD).collect()
+        if bad:
+            told = "; ".join(f"{r['columna']} is {r['problema']}{' as ' + r['tipo'] if r['tipo'] else ''} in {r['file']}" for r in bad)
+            raise ContractError(told)
+    return enforce_contract(scan, contract)
 
 
 def read_csv(

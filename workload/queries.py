@@ -19,6 +19,7 @@ from varcost.sinks.writers import append_audit, write_report_json, write_spec, w
 from varcost.sources.calendar import calendar_of
 from varcost.sources.readers import read_csv
 from workload import adapters as A
+from workload.loads import QUERIES as LOAD_QUERIES
 
 GRAIN = ("prestador_id", "periodo", "codigo_sns")
 AUDIT = "df string, check string, value double, threshold double, status string, run_id string"
@@ -365,3 +366,4 @@ QUERIES = {
         period_summary, top_providers, smoke_orphans, smoke_alerts, severity_profile,
     )
 }
+QUERIES |= LOAD_QUERIES
