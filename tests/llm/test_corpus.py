@@ -17,6 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 from varcost.llm import decontamination, exact_dedup, katz, line_dedup, near_dedup, packing, quality, repeats, token_counts, warc  # noqa: E402
+from varcost.llm.common import with_locator  # noqa: E402
 from varcost.llm.queries import QUERIES, VOCABULARY  # noqa: E402
 from varcost.sinks.scratch import scratch_folder  # noqa: E402
 from workload.local import prepare  # noqa: E402
@@ -101,6 +102,25 @@ def test_near_classes_match_brute_force(spark, small):
     assert got == {i: find(i) for i in docs}
 
 
+def test_rows_of_exploded_united_and_moved_frames_have_locators_of_their_own(spark, tables):
+    prepare(spark)
+    docs = spark.read.parquet(f"{tables}/full/documents.parquet")
+    scan = with_locator(docs.filter("doc_id < 9").withColumn("x", F.lit(1)), "t")
+    assert "Parquet" in scan._jdf.queryExecution().executedPlan().toString() and scan.select("__file").distinct().count() <= 2
+    twice = docs.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    for frame, n in ((twice, 2), (docs.unionByName(docs), 2), (docs.repartition(6), 1), (docs.join(twice.select("doc_id", "copy"), "doc_id"), None)):
+        frame = frame.withColumnsRenamed({"__file": "f", "row": "r"})
+        located = with_locator(frame, "t").select("__file", "__row").collect()
+        assert len({tuple(r) for r in located}) == len(located) == (n * len(ROWS) if n else len(located))
+    once = near_dedup.near_dedup(docs).filter("kept").count()
+    found = near_dedup.near_dedup(twice).collect()
+    assert len(found) == 2 * len(ROWS) and sum(r["kept"] for r in found) == once
+    assert near_dedup.without_near_copies(docs.unionByName(docs)).count() == once
+    assert exact_dedup.without_copies(twice).count() == exact_dedup.without_copies(docs).count()
+    items = spark.read.parquet(f"{tables}/full/benchmark.parquet")
+    assert decontamination.without_leaks(twice, items).count() == 2 * decontamination.without_leaks(docs, items).count()
+
+
 def _prefix_pair(shared, union, name):
     """Texts of distinct words, the second a prefix of the first: this many shingles shared and in all."""
     words = [f"{name}w{k}" for k in range(union + 4)]
@@ -353,7 +373,7 @@ def test_isotonic():
     assert (np.diff(y) > 0).all() and len(x) == len(y) == 4
 
 
-def test_histogram_bound_loses_no_similar_pair(spark, tmp_path):
+def test_prefixes_lose_no_similar_pair(spark):
     prepare(spark)
     rng = np.random.default_rng(5)
     texts = []
@@ -364,21 +384,22 @@ def test_histogram_bound_loses_no_similar_pair(spark, tmp_path):
             for at in rng.integers(0, len(words), changes):
                 words[at] = f"new{rng.integers(0, 10**6)}"
             texts.append(" ".join(words[: len(words) - int(rng.integers(0, 8))]))
-    kind = "__file bigint, __row bigint, doc_id bigint, node binary, n_shingles bigint, weight bigint, cells array<int>, keys array<bigint>"
-    rows = spark.createDataFrame([(0, k, k, t) for k, t in enumerate(texts)], "__file bigint, __row bigint, doc_id bigint, text string")
-    rows.mapInArrow(near_dedup._nodes(5, 20, 4), kind).write.parquet(f"{tmp_path}/nodes")
-    nodes = spark.read.parquet(f"{tmp_path}/nodes").select("doc_id", "n_shingles", "weight", "cells")
-    a, b = (nodes.select(*(F.col(c).alias(f"{c}_{side}") for c in nodes.columns)) for side in "ab")
-    kept = a.join(b, F.col("doc_id_a") < F.col("doc_id_b")).filter(near_dedup._may_be_similar(0.8)).select("doc_id_a", "doc_id_b").collect()
-    kept = {tuple(r) for r in kept}
+    texts += [t for pair in ((4, 5), (12, 15), (80, 100), (79, 100)) for t in _prefix_pair(*pair, f"p{pair[1]}")]
+    name = [bytes([k]) for k in range(len(texts))]
+    rows = [(bytearray(n), bytearray(n), t) for n, t in zip(name, texts)]
+    nodes = spark.createDataFrame(rows, "node binary, class binary, text string")
+    kept = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in near_dedup._prefix_pairs(nodes, 5, 0.8).collect()}
 
     def shingles(text):
         data = np.frombuffer(text.encode(), np.uint8)
         return near_dedup.weighted_shingles(data, np.array([0, len(data)]), 5)[1:]
 
     known = [shingles(t) for t in texts]
-    similar = {(i, j) for j in range(len(texts)) for i in range(j) if near_dedup.probability_jaccard(known[i], known[j]) >= 0.8}
-    assert similar and similar <= kept and len(kept) < len(texts) * (len(texts) - 1) / 2
+    likeness = {(i, j): near_dedup.probability_jaccard(known[i], known[j]) for j in range(len(texts)) for i in range(j)}
+    similar = {pair for pair, s in likeness.items() if s >= 0.8 - 1e-9}
+    assert similar and similar <= kept and len(kept) < 2 * len(similar)
+    one = nodes.withColumn("class", F.lit(b"x"))
+    assert near_dedup._prefix_pairs(one, 5, 0.8).count() == 0 and near_dedup._prefix_pairs(nodes.limit(0), 5, 0.8).count() == 0
 
 
 def test_long_header_lines_are_read():

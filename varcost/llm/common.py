@@ -34,20 +34,37 @@ def fold(id_col: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % buckets
 
 
+# What a frame may be made of so that every row is a row of a file: a scan, with columns computed and rows filtered.
+_ONE_TO_ONE = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the frame is one scan of files, and no operator multiplies, joins, unites or moves its rows."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ONE_TO_ONE:
+        children = plan.children()
+        if children.isEmpty():
+            return bool(df.inputFiles())
+        plan = children.head()
+    return False
+
+
 def with_locator(docs: DataFrame, name: str) -> DataFrame:
-    """Add where each row is stored: ``__file`` (64-bit hash of the path) and ``__row``.
+    """Add where each row is stored: ``__file`` (64-bit hash of the path) and ``__row``. Every row has a locator of its own.
 
     Both come from the file scan, so any later scan of the same files gives a row the same
-    locator. Rows that do not come straight from a file are first written to the scratch folder.
+    locator. Rows that do not come straight from a file, each as it is there, are first written to the scratch folder.
     """
     where = {
         FILE: F.xxhash64(F.col("_metadata.file_path")),
         ROW: F.col("_metadata.row_index"),
     }
-    try:
-        return docs.withColumns(where)
-    except AnalysisException:
-        return stage(docs, name).withColumns(where)
+    if _is_scan(docs):
+        try:
+            return docs.withColumns(where)
+        except AnalysisException:  # its columns hide the scan's
+            pass
+    return stage(docs, name).withColumns(where)
 
 
 def positional(docs: DataFrame) -> DataFrame:

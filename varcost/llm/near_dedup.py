@@ -9,10 +9,11 @@
 3. Registers are banded. In each bucket of a band every node is paired with one pivot, so pairs grow with
    the nodes, not with the square of a bucket.
 4. Pairs are verified on the exact probability Jaccard of the texts.
-5. What pivots leave open is completed exactly: one minus the similarity is a metric, so two nodes of a
-   bucket can only be similar if their distances to the pivot differ by no more than the threshold allows.
-   Nor can two texts share more than the histograms of their shingles do. Nodes of one bucket that are still
-   in different classes and not ruled out are paired once, in their first common band, and verified.
+5. What pivots leave open is completed exactly by a prefix join. A node of a bucket that still holds several classes orders
+   its shingles by how rare they are among all such nodes. If two of them are similar, the parts that they do not share weigh
+   at most one minus the threshold, so the rarest shingle they share lies within that much weight of the rarest end of both.
+   Only these prefixes are joined; a node whose own shingles, that no other has, weigh more has none. What the prefixes of
+   a pair do not share bounds its similarity once more before texts are compared.
 6. Classes are the connected components of the verified links.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varcost.llm.common import FILE, ROW, Words, mix, place_of, positional, record_batch, text_slices, with_locator
@@ -35,8 +36,6 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 20, 4
 # Pivots that all nodes of a bucket are compared with before the exact completion.
 PIVOTS = 2
-# Cells of the histogram of a text's shingles, which bounds what two texts share.
-CELLS = 256
 # Rounding that the sum of a similarity may have; a pair at the threshold is similar.
 ROUNDING = 1e-9
 
@@ -90,8 +89,6 @@ def _nodes(size: int, bands: int, rows: int):
                 for k in range(rows):
                     keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + held[:, :, k])
                 words = data.tobytes().translate(_LOWER)
-                cell = owner * CELLS + (mix(hashes) % np.uint64(CELLS)).astype(np.int64)
-                cells = np.bincount(cell, minlength=n * CELLS).astype(np.int32)
                 digests = [
                     hashlib.blake2b(b" ".join(words[a:b].split()), digest_size=16).digest()
                     for a, b in zip(offsets[:-1], offsets[1:])
@@ -100,8 +97,6 @@ def _nodes(size: int, bands: int, rows: int):
                     *((name, batch.column(k).slice(first, n)) for k, name in enumerate((FILE, ROW, "doc_id"))),
                     ("node", pa.array(digests, pa.binary())),
                     ("n_shingles", pa.array(np.bincount(owner, minlength=n))),
-                    ("weight", pa.array(np.bincount(owner, weights, minlength=n).astype(np.int64))),
-                    ("cells", pa.ListArray.from_arrays(np.arange(0, (n + 1) * CELLS, CELLS, dtype=np.int32), pa.array(cells))),
                     ("keys", pa.ListArray.from_arrays(np.arange(0, (n + 1) * bands, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))),
                 ])
 
@@ -197,16 +192,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_similarity(members: DataFrame, scored: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Each member's class now, and its similarity to this turn's pivot as far as it was compared."""
-    known = scored.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("similarity").alias(f"s{turn}"))
-    known = known.union(known.select("pivot", "node", f"s{turn}"))
-    return (
-        members.join(known, ["node", "pivot"], "left")
-        .withColumn(f"s{turn}", F.when(F.col("node") == F.col("pivot"), 1.0).otherwise(F.col(f"s{turn}")))
-        .join(classes, "node", "left")
-        .withColumn("class", F.coalesce("class", "node"))
-    )
+def _with_similarity(members: DataFrame, scored: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each member's class now, and its similarity to the first pivot as far as it was compared."""
+    known = scored.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similarity")
+    known = known.union(known.select("pivot", "node", "similarity"))
+    return _in_class(members.join(known, ["node", "pivot"], "left"), classes)
+
+
+def _in_class(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
 
 
 def _unsettled(spread: DataFrame) -> DataFrame:
@@ -217,26 +211,67 @@ def _unsettled(spread: DataFrame) -> DataFrame:
 
 def _next_pivots(spread: DataFrame) -> DataFrame:
     """Give each bucket the pivot that is most similar to its first one."""
-    best = F.max_by("node", F.struct("s0", "node"))
+    best = F.max_by("node", F.struct("similarity", "node"))
     others = spread.filter(F.col("node") != F.col("pivot")).groupBy("band", "key").agg(best.alias("pivot"))
-    return spread.drop("pivot").join(others, ["band", "key"])
+    return spread.drop("pivot", "similarity").join(others, ["band", "key"])
 
 
-def _may_be_similar(threshold: float) -> Column:
-    """Whether the shingles of sides ``a`` and ``b`` can be as similar as the threshold.
+def _shingles(size: int):
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(2)):
+                owner, hashes, weights = weighted_shingles(data, offsets, size)
+                total = np.bincount(owner, weights, minlength=len(offsets) - 1)
+                at = pa.array(first + owner)
+                yield record_batch([
+                    ("id", batch.column(0).take(at)), ("class", batch.column(1).take(at)), ("shingle", pa.array(hashes.view(np.int64))),
+                    ("weight", pa.array(weights.astype(np.int64))), ("total", pa.array(total[owner].astype(np.int64))),
+                ])
 
-    Two texts share at most the smaller number of shingles of each cell. All others have a weight of one or more, so
-    parts p and q at least of the weights are not shared, and then the similarity is at most
-    (1 - p)(1 - q) / (1 - pq), which is the Jaccard similarity if no shingle repeats.
-    """
-    shared = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return explode
 
-    def enough(n: Column) -> Column:
-        p, q = (F.col("n_shingles_a") - n) / F.col("weight_a"), (F.col("n_shingles_b") - n) / F.col("weight_b")
-        return (1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING
 
-    # A lambda's variable keeps the sum from being worked out anew wherever the formula names it.
-    return F.exists(F.array(shared), enough)
+def _prefix_pairs(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs of ``nodes`` (``node``, ``class``, ``text``) of different classes that may be as similar as the threshold, none missing.
+
+    Nodes and classes go by 64-bit names here; two that share a name only cause a pair too many.
+    """
+    named = stage(nodes.select("node", F.xxhash64("node").alias("id"), F.xxhash64("class").alias("class"), "text"), "open")
+    entries = stage(
+        named.select("id", "class", "text").mapInArrow(_shingles(size), "id long, class long, shingle long, weight long, total long"), "entries"
+    )
+    shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    # What no other node has comes first, then the rarest; equal ones by hash, the same order for every node.
+    held = entries.join(shared, "shingle")
+    own = Window.partitionBy("id")
+    before = own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.col("total") - F.sum("weight").over(own) + F.coalesce(F.sum("weight").over(before), F.lit(0))
+    prefix = stage(
+        held.withColumn("before", earlier).filter(F.col("before") <= (1 - threshold + ROUNDING) * F.col("total"))
+        .select("id", "class", "shingle", "weight", "before", "total"),
+        "prefix",
+    )
+
+    def side(name: str) -> DataFrame:
+        return prefix.select("shingle", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("class", "weight", "before", "total")))
+
+    def not_shared(name: str) -> Column:
+        """Least part of the weight that is not shared: what comes before the last shingle met, less what is met there."""
+        before, weight = F.max(f"before_{name}"), F.sum(f"weight_{name}")
+        return (before - weight + F.max_by(f"weight_{name}", f"before_{name}")) / F.first(f"total_{name}")
+
+    # Parts p and q that are not shared leave a similarity of at most (1 - p)(1 - q) / (1 - pq).
+    p, q = F.col("p"), F.col("q")
+    pairs = (
+        side("a").join(side("b"), "shingle").filter("a < b AND class_a <> class_b")
+        .groupBy("a", "b").agg(not_shared("a").alias("p"), not_shared("b").alias("q"))
+        .filter((1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING).select("a", "b")
+    )
+    names = named.select("id", "node")
+    return (
+        pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    )
 
 
 def near_dedup(
@@ -263,7 +298,7 @@ def near_dedup(
     rows = stage(
         located.select(FILE, ROW, "doc_id", "text").mapInArrow(
             _nodes(shingle_words, bands, band_rows),
-            f"{FILE} bigint, {ROW} bigint, doc_id {kind}, node binary, n_shingles bigint, weight bigint, cells array<int>, keys array<bigint>",
+            f"{FILE} bigint, {ROW} bigint, doc_id {kind}, node binary, n_shingles bigint, keys array<bigint>",
         ),
         "nodes",
     )
@@ -289,34 +324,15 @@ def near_dedup(
         found = scored.filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
         links = found if links is None else links.unionByName(found)
         classes = components(links)
-        spread = stage(_with_similarity(spread.drop("class"), scored, classes, turn), f"spread{turn}")
+        spread = spread.drop("class")
         if turn + 1 < PIVOTS:
-            spread = stage(_next_pivots(_unsettled(spread)), f"pivots{turn}")
-
-    rest = _unsettled(spread)
-    main = rest.groupBy("band", "key", "class").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-    rest = stage(rest.join(main, ["band", "key"]), "rest")
-    open_nodes = rest.select("node").distinct()
-    about = ["n_shingles", "weight", "cells", "keys"]
-    sketches = rows.join(open_nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in about))
-    rest = stage(rest.join(sketches.hint("merge"), "node"), "sketched")
-    about = ["node", "class", *about, *(f"s{turn}" for turn in range(PIVOTS))]
+            spread = stage(_next_pivots(_unsettled(_with_similarity(spread, scored, classes))), f"pivots{turn}")
+        else:
+            spread = _in_class(spread, classes)
 
-    def side(name: str) -> DataFrame:
-        return rest.select("band", "key", "main", *(F.col(c).alias(f"{c}_{name}") for c in about))
-
-    left = side("a").filter("class_a <> main").drop("main")
-    near = F.lit(True)
-    for turn in range(PIVOTS):  # the difference of the distances to a pivot is a lower bound of the distance
-        near &= F.coalesce(F.abs(F.col(f"s{turn}_a") - F.col(f"s{turn}_b")) <= 1 - threshold + ROUNDING, F.lit(True))
-    first_band = F.array_position(F.zip_with("keys_a", "keys_b", lambda x, y: x == y), True) == F.col("band") + 1
-    open_pairs = (
-        left.join(side("b"), ["band", "key"])
-        .filter(F.col("class_a") != F.col("class_b"))
-        .filter(((F.col("node_a") < F.col("node_b")) | (F.col("class_b") == F.col("main"))) & near)
-        .filter(first_band & _may_be_similar(threshold))
-        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    )
+    # Nodes that some bucket still holds together with another class.
+    open_nodes = stage(_unsettled(spread).select("node", "class").distinct(), "unsettled")
+    open_pairs = _prefix_pairs(open_nodes.join(texts, "node"), shingle_words, threshold)
     completed = _scored(open_pairs, texts, shingle_words, "rest").filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
     if completed.limit(1).count():
         classes = components(links.unionByName(completed))
