@@ -12,8 +12,8 @@
 5. What pivots leave open is completed exactly by a prefix join. A node of a bucket that still holds several classes orders
    its shingles by how rare they are among all such nodes. If two of them are similar, the parts that they do not share weigh
    at most one minus the threshold, so the rarest shingle they share lies within that much weight of the rarest end of both.
-   Only these prefixes are joined; a node whose own shingles, that no other has, weigh more has none. What the prefixes of
-   a pair do not share bounds its similarity once more before texts are compared.
+   Only these prefixes are joined; a node whose own shingles, that no other has, weigh more has none. A shingle whose bit the
+   other node's sketch lacks is not shared, either, and the join takes no pair for which that rules out the threshold.
 6. Classes are the connected components of the verified links.
 """
 
@@ -36,6 +36,8 @@ THRESHOLD = 0.8
 BANDS, BAND_ROWS = 20, 4
 # Pivots that all nodes of a bucket are compared with before the exact completion.
 PIVOTS = 2
+# Words of 64 bits that sketch the shingles of a node, to bound what two nodes share.
+BIT_WORDS = 16
 # Rounding that the sum of a similarity may have; a pair at the threshold is similar.
 ROUNDING = 1e-9
 
@@ -221,11 +223,22 @@ def _shingles(size: int):
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(2)):
                 owner, hashes, weights = weighted_shingles(data, offsets, size)
-                total = np.bincount(owner, weights, minlength=len(offsets) - 1)
+                n = len(offsets) - 1
+                total = np.bincount(owner, weights, minlength=n).astype(np.int64)
                 at = pa.array(first + owner)
                 yield record_batch([
                     ("id", batch.column(0).take(at)), ("class", batch.column(1).take(at)), ("shingle", pa.array(hashes.view(np.int64))),
-                    ("weight", pa.array(weights.astype(np.int64))), ("total", pa.array(total[owner].astype(np.int64))),
+                    ("weight", pa.array(weights.astype(np.int64))), ("total", pa.array(total[owner])),
+                    ("bits", pa.nulls(len(owner), pa.list_(pa.int64()))),
+                ])
+                # And a row per node: a bit for each shingle, by its hash.
+                place = (mix(hashes) % np.uint64(64 * BIT_WORDS)).astype(np.int64)
+                bits = np.zeros((n, BIT_WORDS), np.uint64)
+                np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+                yield record_batch([
+                    ("id", batch.column(0).slice(first, n)), ("class", batch.column(1).slice(first, n)), ("shingle", pa.nulls(n, pa.int64())),
+                    ("weight", pa.nulls(n, pa.int64())), ("total", pa.array(total)),
+                    ("bits", pa.ListArray.from_arrays(np.arange(0, (n + 1) * BIT_WORDS, BIT_WORDS, dtype=np.int32), pa.array(bits.ravel().view(np.int64)))),
                 ])
 
     return explode
@@ -234,38 +247,43 @@ def _shingles(size: int):
 def _prefix_pairs(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs of ``nodes`` (``node``, ``class``, ``text``) of different classes that may be as similar as the threshold, none missing.
 
-    Nodes and classes go by 64-bit names here; two that share a name only cause a pair too many.
+    Nodes and classes go by 64-bit hashes here.
     """
     named = stage(nodes.select("node", F.xxhash64("node").alias("id"), F.xxhash64("class").alias("class"), "text"), "open")
-    entries = stage(
-        named.select("id", "class", "text").mapInArrow(_shingles(size), "id long, class long, shingle long, weight long, total long"), "entries"
+    exploded = stage(
+        named.select("id", "class", "text").mapInArrow(
+            _shingles(size), "id long, class long, shingle long, weight long, total long, bits array<long>"
+        ),
+        "entries",
     )
+    entries = exploded.filter("shingle IS NOT NULL").drop("bits")
+    words = [f"bits{k}" for k in range(BIT_WORDS)]
+    sketches = exploded.filter("shingle IS NULL").select("id", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
     # What no other node has comes first, then the rarest; equal ones by hash, the same order for every node.
     held = entries.join(shared, "shingle")
     own = Window.partitionBy("id")
     before = own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.col("total") - F.sum("weight").over(own) + F.coalesce(F.sum("weight").over(before), F.lit(0))
-    prefix = stage(
-        held.withColumn("before", earlier).filter(F.col("before") <= (1 - threshold + ROUNDING) * F.col("total"))
-        .select("id", "class", "shingle", "weight", "before", "total"),
-        "prefix",
+    alone = F.col("total") - F.sum("weight").over(own)
+    prefix = (
+        held.withColumns({"alone": alone, "before": alone + F.coalesce(F.sum("weight").over(before), F.lit(0))})
+        .filter(F.col("before") <= (1 - threshold + ROUNDING) * F.col("total"))
     )
+    prefix = stage(prefix.select("id", "class", "shingle", "alone", "total").join(sketches, "id"), "prefix")
 
     def side(name: str) -> DataFrame:
-        return prefix.select("shingle", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("class", "weight", "before", "total")))
-
-    def not_shared(name: str) -> Column:
-        """Least part of the weight that is not shared: what comes before the last shingle met, less what is met there."""
-        before, weight = F.max(f"before_{name}"), F.sum(f"weight_{name}")
-        return (before - weight + F.max_by(f"weight_{name}", f"before_{name}")) / F.first(f"total_{name}")
+        return prefix.select("shingle", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("class", "alone", "total", *words)))
 
     # Parts p and q that are not shared leave a similarity of at most (1 - p)(1 - q) / (1 - pq).
-    p, q = F.col("p"), F.col("q")
+    p, q = (F.col(f"alone_{name}") / F.col(f"total_{name}") for name in "ab")
+    possible = (1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING
+    # Of parts that add up to c, equal ones leave the most: (2 - c) / (2 + c). A bit that one sketch has alone is a shingle not shared.
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    possible &= differing <= (2 * (1 - threshold) / (1 + threshold) + ROUNDING) * F.greatest("total_a", "total_b")
+    apart = F.expr("a < b AND class_a <> class_b")
     pairs = (
-        side("a").join(side("b"), "shingle").filter("a < b AND class_a <> class_b")
-        .groupBy("a", "b").agg(not_shared("a").alias("p"), not_shared("b").alias("q"))
-        .filter((1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING).select("a", "b")
+        side("a").join(side("b").withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & possible)
+        .select("a", "b").distinct()
     )
     names = named.select("id", "node")
     return (
