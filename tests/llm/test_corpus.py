@@ -177,6 +177,16 @@ def test_katz_probabilities_sum_to_one(spark):
     assert (katz.discounts(counts)[1:6] > 0).all() and (katz.discounts(counts)[1:6] <= 1).all()
 
 
+def test_katz_scores_do_not_depend_on_how_rows_are_stored(spark, small):
+    prepare(spark)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    scan, moved = (
+        {r["doc_id"]: (r["n_tokens"], r["n_known"], round(r["score"], 6)) for r in katz.katz_scores(d, train=F.col("doc_id") % 10 != 0).collect()}
+        for d in (docs, docs.repartition(6))
+    )
+    assert scan == moved and len(scan) == docs.count()
+
+
 def test_katz_learns(spark, small):
     rows = QUERIES["op5_katz"](spark, small).collect()
     held = [r for r in rows if r["held_out"]]

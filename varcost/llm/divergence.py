@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varcost.llm.chunks import chunk_spans, distinct_chunks, lowered
+from varcost.llm.chunks import chunk_spans, distinct_chunks, lowered, packed, unpacked
 from varcost.llm.common import record_batch, text_of, text_slices
 from varcost.llm.sized import broadcast_if_small
 from varcost.sinks.scratch import stage
@@ -99,17 +99,6 @@ def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: np.nd
     return first, last, np.concatenate([[0], np.cumsum(some)])[texts]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Numbers below 2**32, all lowest bytes first and all highest, which are mostly 0, last; compressed."""
-    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 _PAYLOAD = ("doc_groups", "doc_sizes", "pair_steps", "pair_times")
 _BLOCK_TYPES = {
     "block": pa.int64(), "place": pa.int64(), "chunk": pa.string(), "docs": pa.int64(), **{k: pa.binary() for k in _PAYLOAD},

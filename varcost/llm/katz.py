@@ -4,12 +4,12 @@ Counts of n-grams are discounted after Good and Turing, with smoothed counts of
 context, in proportion to the next shorter model, with weights that normalise exactly. Tokens are the
 lower-case (A-Z) words of a text and one end.
 
-Texts are read in *blocks*. A block keeps its tokens as numbers into its own list of distinct words, in a staged
-table partitioned by nothing but the blocks. Counting is an exchange: each block sends every n-gram it has once, as a
-sorted array of 64-bit hashes with its training counts, to the bucket of the hash; the bucket adds the blocks'
-counts and answers each block with the totals in the same order, and names one block the n-gram's owner.
-No n-gram takes more than a row's part per block, however frequent, and no table of all n-grams
-is ever collected or broadcast. A token that backs off needs its contexts' weights; those are joined by context.
+Texts are read in *blocks*, once; every row gets a number there, in the same pass that reads its text. A block keeps its tokens as
+numbers into its own list of distinct words, the most frequent first. Counting is an exchange: each block sends every n-gram it has
+once, as a sorted array of 64-bit hashes with its training counts, to the bucket of the hash. The bucket adds the blocks' counts,
+keeps them as its part of the n-gram table, answers each block with the totals in the same order, and names one block the n-gram's
+owner. No n-gram takes more than a row's part per block, however frequent, and no table of all n-grams
+is ever collected or broadcast. A token that backs off needs its contexts' weights; those are a table joined by context.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varcost.llm.chunks import packed, unpacked
 from varcost.llm.common import Words, mix, record_batch, text_of, text_slices
 from varcost.sinks.scratch import stage
 
@@ -35,7 +36,7 @@ RESERVE = 0.1
 # Fixed value of the base model: what is added to each count.
 ADDED = 0.1
 # Text that one block takes, and n-grams that one bucket takes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_GRAMS = 2_000_000
 # Rows of results that are handed over at once.
 BATCH_ROWS = 1 << 16
@@ -46,25 +47,39 @@ END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
 # Blocks ------------------------------------------------------------------------------------
 
 
+# A row of a block, and before that one row per text: its number, id and whether it is learned from.
+_BLOCK = {
+    "block": pa.int64(), "rows": pa.binary(), "train": pa.binary(), "sizes": pa.binary(), "words": pa.binary(), "tokens": pa.binary(),
+    "n_tokens": pa.int64(), "row": pa.int64(), "learn": pa.bool_(),
+}
+_BLOCK_SCHEMA = "block long, rows binary, train binary, sizes binary, words binary, tokens binary, n_tokens long, row long, learn boolean"
+
+
 def _read_blocks(block_bytes: int):
-    def flush(block: int, docs: list, parts: list) -> pa.RecordBatch:
+    def row_of(n: int, doc_ids: pa.Array, **columns: pa.Array) -> pa.RecordBatch:
+        return record_batch([("doc_id", doc_ids), *((k, columns.get(k, pa.nulls(n, kind))) for k, kind in _BLOCK.items())])
+
+    def flush(block: int, docs: list, parts: list, kind: pa.DataType) -> pa.RecordBatch:
         ids, train, sizes = (np.concatenate([d[k] for d in docs]) for k in range(3))
-        words, index = np.unique(np.concatenate(parts), return_inverse=True)
-        return record_batch([
-            ("block", pa.array([block], pa.int64())),
-            ("rows", pa.array([ids.tobytes()], pa.binary())), ("train", pa.array([train.tobytes()], pa.binary())),
-            ("sizes", pa.array([sizes.tobytes()], pa.binary())),
-            ("words", pa.array([words.tobytes()], pa.binary())),
-            ("tokens", pa.array([index.astype(np.uint32).tobytes()], pa.binary())),
-            ("n_tokens", pa.array([len(index)], pa.int64())),
-        ])
+        words, index, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        binary = {"rows": ids.tobytes(), "train": train.tobytes(), "sizes": sizes.tobytes(), "words": words[order].tobytes(), "tokens": packed(rank[index])}
+        return row_of(
+            1, pa.nulls(1, kind), block=pa.array([block], pa.int64()), n_tokens=pa.array([len(index)], pa.int64()),
+            **{k: pa.array([v], pa.binary()) for k, v in binary.items()},
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        docs, parts, size = [], [], 0
+        block = row = TaskContext.get().partitionId() << 32
+        docs, parts, size, kind = [], [], 0, None
         for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            kind = batch.schema.field(0).type
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            yield row_of(batch.num_rows, batch.column(0), row=pa.array(rows), learn=batch.column(1))
             for first, data, offsets in text_slices(batch.column(2)):
                 words, n = Words(data, offsets), len(offsets) - 1
                 counts = np.diff(words.bounds) + 1
@@ -76,10 +91,10 @@ def _read_blocks(block_bytes: int):
                 parts.append(tokens)
                 size += len(data)
                 if size >= block_bytes:
-                    yield flush(block, docs, parts)
+                    yield flush(block, docs, parts, kind)
                     docs, parts, size, block = [], [], 0, block + 1
         if docs:
-            yield flush(block, docs, parts)
+            yield flush(block, docs, parts, kind)
 
     return read
 
@@ -91,7 +106,7 @@ class Block:
         self.rows = np.frombuffer(row["rows"], np.int64)
         self.train = np.frombuffer(row["train"], bool)
         self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.tokens = np.frombuffer(row["words"], np.uint64)[np.frombuffer(row["tokens"], np.uint32)]
+        self.tokens = np.frombuffer(row["words"], np.uint64)[unpacked(row["tokens"])]
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         start = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         self.position = np.arange(len(self.tokens), dtype=np.int32) - start[self.doc]
@@ -175,28 +190,32 @@ def _wide(data: bytes) -> np.ndarray:
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of one bucket, for each block in the order of its keys; lowest bit: whether it is the owner."""
+    """Totals of one bucket, for each block in the order of its keys (lowest bit: whether it is the owner); and the bucket's part of
+    the n-gram table, without a block: the n-grams that training has, in order, and their counts."""
     keys = [_sums(k) for k in table["keys"].to_pylist()]
     counts = [_wide(c) for c in table["counts"].to_pylist()]
     sizes = [len(k) for k in keys]
-    _, first, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    totals = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)[index]
+    grams, first, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)
     owner = np.zeros(len(index), np.int64)
     owner[first] = 1
-    answer = np.split(totals * 2 + owner, np.cumsum(sizes)[:-1])
+    answer = np.split(total[index] * 2 + owner, np.cumsum(sizes)[:-1])
+    seen = total > 0
+    n, bucket = table["n"].to_pylist(), table["bucket"].to_pylist()
     return pa.table({
-        "n": table["n"], "bucket": table["bucket"], "block": table["block"],
-        "totals": pa.array([_narrow(a) for a in answer], pa.binary()),
+        "n": pa.array([*n, n[0]], pa.int32()), "bucket": pa.array([*bucket, bucket[0]], pa.int32()),
+        "block": pa.array([*table["block"].to_pylist(), None], pa.int64()),
+        "grams": pa.array([*[None] * len(n), _differences(grams[seen])], pa.binary()),
+        "totals": pa.array([*map(_narrow, answer), _narrow(total[seen])], pa.binary()),
     })
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per n and count: how many n-grams have it. Different counts are few, at most the root of twice the tokens."""
+    """Per n and count: how many n-grams of the table have it. Different counts are few, at most the root of twice the tokens."""
     found: dict[int, Counter] = defaultdict(Counter)
     for batch in batches:
         for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            values = _wide(data)
-            seen = values[(values & 1) == 1] >> 1
+            seen = _wide(data)
             # Nearly all counts are small: those are not sorted.
             small = np.bincount(seen[seen < 256], minlength=256)
             counts, kinds = np.unique(seen[seen >= 256], return_counts=True)
@@ -370,28 +389,23 @@ def katz_scores(
     unknown word with probability 1. Rows with a NULL or repeated id are texts of their own. An empty
     table gives an empty result. Only the columns of ``train``, the id and the text are read.
     """
-    keyed = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-        F.coalesce(train, F.lit(False)).alias("train"), text_of(text_col).alias("text"),
-    )
-    names = stage(keyed.select("row", "doc_id", "train"), "rows")
-    blocks = stage(
-        keyed.select("row", "train", "text").mapInArrow(
-            _read_blocks(block_bytes),
-            "block bigint, rows binary, train binary, sizes binary, words binary, tokens binary, n_tokens bigint",
-        ),
-        "blocks",
-    )
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("learn"), text_of(text_col).alias("text"))
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    # Numbers, ids and texts of the rows come from one pass, so they belong together however the rows are made.
+    read = stage(keyed.mapInArrow(_read_blocks(block_bytes), f"doc_id {kind}, {_BLOCK_SCHEMA}"), "blocks")
+    names = read.filter("row IS NOT NULL").select("row", "doc_id", F.col("learn").alias("train"))
+    blocks = read.filter("block IS NOT NULL").select("block", "rows", "train", "sizes", "words", "tokens", "n_tokens")
     grams = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-grams // bucket_grams))
     orders = list(range(1, order + 1))
-    answers = stage(
+    counted = stage(
         blocks.mapInArrow(_send(orders, buckets), "n int, bucket int, block bigint, keys binary, counts binary")
-        .groupBy("n", "bucket").applyInArrow(_add_up, "n int, bucket int, block bigint, totals binary"),
-        "totals",
+        .groupBy("n", "bucket").applyInArrow(_add_up, "n int, bucket int, block bigint, grams binary, totals binary"),
+        "ngrams",
     )
+    answers, ngrams = counted.filter("block IS NOT NULL").drop("grams"), counted.filter("block IS NULL")
     kinds = (
-        answers.select("n", "totals").mapInArrow(_histogram, "n int, count bigint, kinds bigint")
+        ngrams.select("n", "totals").mapInArrow(_histogram, "n int, count bigint, kinds bigint")
         .groupBy("n", "count").agg(F.sum("kinds").alias("kinds"))
     )
     stats = {n: {} for n in orders}
