@@ -142,15 +142,15 @@ def run_monthly(
     rules, grain_limit = cost_rules(limits), (limits or {}).get(quarantine.REPEATED, 0.0)
     tagged = stage(quarantine.tagged(raw_costs, rules, GRAIN), "costs")
     costs, held = quarantine.routed(tagged)
-    report = stage(
-        quality_report(catalogue, enabled, tagged).unionByName(quarantine.rule_report(tagged, "costos", rules, grain_limit)), "quality"
-    )
-    summary = quality.summaries_with_checks(report, run.started.isoformat())
+    report = stage(quality_report(catalogue, enabled, tagged), "quality")
+    broken = stage(quarantine.rule_report(tagged, "costos", rules, grain_limit), "rules")
+    summary = quality.summaries_with_checks(report.unionByName(broken), run.started.isoformat())
     if dq_report_path:
         write_report_json(summary, dq_report_path)
     reports = quality.gate(summary) if fail_on_dq_error else quality.collect_summaries(summary)
 
     append_audit(report, f"{output}/dq_audit", run.run_id)
+    append_audit(broken, f"{output}/dq_reglas", run.run_id)
     held_path = f"{output}/cuarentena"
     write_table(held.withColumn("run_id", F.lit(run.run_id)), held_path, partition_by=("run_id",))
     months = calendar(spark, *calendar_span(costs))
@@ -158,14 +158,14 @@ def run_monthly(
     merged = merged_providers(
         read_latest(spark, history_path), all_providers, snapshot_date or run.started.date()
     )
-    dimensions = {"dim_prestador": merged, "dim_medicamento": star.catalogue_dimension(catalogue), "dim_tiempo": months}
-    locations = {}
-    for name, frame in dimensions.items():
+    # The calendar is the same on every run but for months that come in, so it has no versions.
+    locations = {"dim_tiempo": write_table(months, f"{output}/dim_tiempo").target}
+    for name, frame in {"dim_prestador": merged, "dim_medicamento": star.catalogue_dimension(catalogue)}.items():
         version = write_version(frame, f"{output}/{name}", run.run_id, WAREHOUSE[name].cluster_by)
         locations[name] = version_path(f"{output}/{name}", version)
     history = read_latest(spark, history_path)
     if fmt not in FILE_FORMATS:
-        for name in dimensions:
+        for name in locations:
             write_table(
                 spark.read.schema(WAREHOUSE[name].schema).parquet(locations[name]), f"{dataset}.{name}", fmt,
                 cluster_by=WAREHOUSE[name].cluster_by, options=options, fallback=f"{output}/{fmt}/{name}",
