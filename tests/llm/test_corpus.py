@@ -330,6 +330,101 @@ def test_packing_is_whole_and_fits(spark, small):
         assert rows[0]["capacity"] == min(c for c in packing.CAPACITIES if c >= filled)
 
 
+def packed_cost(sizes, cost=packing.sequence_cost):
+    return sum(map(cost, sizes))
+
+
+def scanning_best_fit(lengths, opened, cost, capacities):
+    """Best-fit that looks at every open bin and at every piece to come."""
+    bins, size, where = [], [], []
+    for i, n in enumerate(lengths):
+        fitting = [(size[b] - sum(bins[b]), -last, b) for b, last in ((b, max(k for k, w in enumerate(where) if w == b)) for b in range(len(bins))) if size[b] - sum(bins[b]) >= n]
+        if fitting:
+            target = min(fitting)[2]
+        else:
+            def price(capacity):
+                room = capacity
+                for m in lengths[i:]:
+                    room -= m if m <= room else 0
+                return cost(capacity) / (capacity - room), capacity
+
+            target = len(bins)
+            size.append(min((c for c in opened if c >= n), key=price))
+            bins.append([])
+        where.append(target)
+        bins[target].append(n)
+    return bins, [min(c for c in capacities if c >= sum(b)) for b in bins]
+
+
+def cheapest(lengths, capacities, cost):
+    """Least cost over all ways to deal the pieces to bins."""
+    if not lengths:
+        return 0
+    first, rest = lengths[0], lengths[1:]
+    best = math.inf
+    for mask in range(1 << len(rest)):
+        beside = [n for k, n in enumerate(rest) if mask >> k & 1]
+        total = first + sum(beside)
+        if total <= capacities[-1]:
+            others = [n for k, n in enumerate(rest) if not mask >> k & 1]
+            best = min(best, cost(min(c for c in capacities if c >= total)) + cheapest(others, capacities, cost))
+    return best
+
+
+def test_best_fit_scans_alike_and_is_near_the_optimum():
+    random = np.random.default_rng(5)
+    capacities = [8, 16, 32, 64]
+
+    def cost(c):
+        return c * (1 + c / 96) + 2
+
+    ratios = []
+    for _ in range(150):
+        lengths = sorted(random.integers(1, random.integers(3, 65), random.integers(1, 8)).tolist(), reverse=True)
+        bins, offsets, sizes = packing.best_fit(lengths, capacities, cost)
+        held = collections.defaultdict(list)
+        for b, offset, n in zip(bins, offsets, lengths):
+            assert offset == sum(held[b])
+            held[b].append(n)
+        assert [min(c for c in capacities if c >= sum(held[b])) for b in range(len(sizes))] == sizes
+        sets = [[c for k, c in enumerate(capacities) if mask >> k & 1] for mask in range(1, 16)]
+        every = [scanning_best_fit(lengths, opened, cost, capacities) for opened in sets if opened[-1] >= lengths[0]]
+        assert math.isclose(packed_cost(sizes, cost), min(packed_cost(s, cost) for _, s in every))
+        assert any(sorted(map(sorted, found)) == sorted(map(sorted, held.values())) for found, _ in every)
+        ratios.append(packed_cost(sizes, cost) / cheapest(lengths, capacities, cost))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.3 and sum(ratios) / len(ratios) < 1.03
+
+
+def test_lengths_compete(small):
+    """Several lengths cost less than any one, and all of them are opened."""
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"])["text"].to_pylist()
+    words = [len((t or "").encode().split()) + 1 for t in texts]
+    lengths = sorted((min(n - k, 4096) for n in words for k in range(0, n, 4096)), reverse=True)
+    _, _, sizes = packing.best_fit(lengths, packing.CAPACITIES)
+    alone = packed_cost(packing.best_fit(lengths, [4096])[2])
+    one = packed_cost(min(c for c in packing.CAPACITIES if c >= u) for u in packing._fill_bins(lengths, (4096,), packing.sequence_cost)[2])
+    assert packed_cost(sizes) < 0.85 * one <= 0.85 * alone
+    assert len(set(sizes)) >= 4
+    # A cost that knows no attention asks for the longest sequences alone.
+    flat = packing.best_fit(lengths, packing.CAPACITIES, lambda c: c + 512)[2]
+    assert collections.Counter(flat).most_common(1)[0][0] == 4096
+
+
+def test_packing_of_ties_long_texts_and_bad_lengths(spark, tables):
+    assert packing.best_fit([], [4, 8]) == ([], [], [])
+    for lengths, capacities in (([9], [1]), ([9], []), ([1], range(1, 10))):
+        with pytest.raises(ValueError):
+            packing.best_fit(lengths, capacities)
+    docs = spark.read.parquet(f"{tables}/full/documents.parquet")
+    first = sorted(map(str, packing.pack(docs).collect()))
+    assert first == sorted(map(str, packing.pack(docs).collect()))
+    pieces = sorted((r["piece"], r["start"], r["n_tokens"]) for r in packing.pack(docs).filter("doc_id = 9").collect())
+    # 30,000 words and an end.
+    assert pieces == [(k, 4096 * k, min(4096, 30_001 - 4096 * k)) for k in range(8)]
+    blank = packing.pack(docs).filter("doc_id IN (5, 6, 7)").collect()
+    assert [r["n_tokens"] for r in blank] == [1, 1, 1] and sum(r["doc_id"] is None for r in packing.pack(docs).collect()) == 1
+
+
 def test_warc_round_trip_and_damage(spark, tables):
     pages = spark.read.parquet(f"{tables}/full/pages.parquet")
     records = warc.read_warc(warc.write_warc(pages, min_revisit_bytes=10), with_payload=True).collect()
