@@ -38,6 +38,14 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def _as_pattern(content: str) -> str:
+    """A pattern for the path, because a stream does not take the path of a single file. What is a pattern already stays."""
+    if any(c in content for c in "{}[]*?\\"):
+        return content
+    path = content.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
     """Digest, rank, id and locator of each row, and its normalised text."""
     text = text_of(text_col)
@@ -64,8 +72,7 @@ def _stream_classes(
     try:
         source = (
             spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes))
-            # As a pattern, because a stream does not take the path of a single file.
-            .parquet(f"{content[:-1]}[{content[-1]}]")
+            .parquet(_as_pattern(content))
         )
         query = (
             _classes(_rows(source, id_col, text_col, digest), "digest")
@@ -104,7 +111,8 @@ def exact_dedup(
     texts form one group. Of a group, the row with the most code points in its original text stays, then
     the one with the smallest id (a NULL id is the largest), then the first one stored, so exactly
     one row stays even if whole rows repeat. Texts of any length are compared in full. An empty table
-    gives an empty result. Only the id and the text are read.
+    gives an empty result. Only the id and the text are read. ``content`` may end in a slash, or be a pattern, as Spark's
+    readers take them.
 
     ``batch_bytes`` is the size of a micro-batch. ``digest`` maps the normalised text to a binary key; with a
     weak one the byte check splits what it confuses.
@@ -144,9 +152,9 @@ def exact_dedup(
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    The rows are first written to the scratch folder, where the stream reads and locates them.
+    Of NULL, empty and blank texts one row stays, and of repeated rows one; an empty table gives an empty result. The rows are first written to the scratch folder, where the stream reads and locates them.
     """
     spark = docs.sparkSession
     content = f"{scratch_folder(spark)}/content-{uuid.uuid4().hex}"
