@@ -29,11 +29,17 @@ from varcost.sinks.scratch import scratch_folder, stage
 VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:x-page:"
+# The name of a page without an id; an empty id is another one.
+_NO_PAGE = "<urn:x-no-page:>"
 _SAFE = ":/?#[]@!$&'()*+,;=%-._~"
 
 RECORDS = "page_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, target_uri string"
 
 
+def _urn(page_id: str | None) -> str:
+    return _NO_PAGE if page_id is None else f"<{_URN}{quote(page_id, safe='')}>"
+
+
 def sha1_base32(*parts: bytes) -> str:
     digest = hashlib.sha1()
     for part in parts:
@@ -53,7 +59,7 @@ def encode_record(
         b"Content-Length: %d\r\n\r\n" % len(payload)
     )
     body = b"" if revisit else payload
-    name = f"<{_URN}{quote(page_id or '', safe='')}>"
+    name = _urn(page_id)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", name),
@@ -65,7 +71,7 @@ def encode_record(
     ]
     if revisit:
         fields.append(("WARC-Profile", REVISIT_PROFILE))
-        fields.append(("WARC-Refers-To", f"<{_URN}{quote(refers_to or '', safe='')}>"))
+        fields.append(("WARC-Refers-To", _urn(refers_to)))
     fields.append(("Content-Length", str(len(http) + len(body))))
     head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n"
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -227,7 +233,7 @@ def _headers(member: Member, first: bytes) -> tuple[dict[str, str], int]:
 def _page(urn: str | None) -> str | None:
     from urllib.parse import unquote
 
-    return unquote(urn.strip("<>").removeprefix(_URN)) or None if urn else None
+    return None if urn in (None, _NO_PAGE) else unquote(urn.strip("<>").removeprefix(_URN))
 
 
 def read_records(stream, with_payload: bool = False) -> Iterator[dict]:
