@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 MAX_VOCABULARY_BYTES = 64 << 20
 # Words whose counts a worker keeps; the memory is emptied when it is full.
 MEMORY_WORDS = 1 << 19
+# Longer words are counted anew each time, which bounds the bytes that a worker keeps.
+MEMORY_WORD_BYTES = 64
 
 ROOT, DEAD = 0, -1
 
@@ -85,6 +87,8 @@ class _Memory(dict):
         self._count = automaton.count
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > MEMORY_WORD_BYTES:
+            return self._count(word)
         if len(self) >= MEMORY_WORDS:
             self.clear()
         count = self[word] = self._count(word)
