@@ -454,6 +454,48 @@ def test_repeats_match_brute_force(spark, tables, group_contexts):
         assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (int((~keep).sum()), bytes(np.frombuffer(d, np.uint8)[keep]))
 
 
+def test_paths_of_exact_dedup(spark, tables):
+    content = f"{tables}/full/documents.parquet"
+    want = sorted(map(str, exact_dedup.exact_dedup(spark, content).select("doc_id", "keep_id", "kept").collect()))
+    assert len(want) == len(ROWS)
+    for path in (content + "/", f"{tables}/fu?l/documents.parquet", f"{tables}/full/document{{s,z}}.parquet"):
+        assert sorted(map(str, exact_dedup.exact_dedup(spark, path).select("doc_id", "keep_id", "kept").collect())) == want
+
+
+def test_empty_and_missing_page_ids_are_told_apart(spark):
+    body = "the same payload " * 20
+    rows = [("", "u", body), (None, "u", body), ("x", "u", body), (None, "v", "alone" * 50), ("a<b>%", "w", "own" * 90)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc(warc.write_warc(pages, min_revisit_bytes=10)).collect()}
+    assert got == {("", "response", None), (None, "revisit", ""), ("x", "revisit", ""), (None, "response", None), ("a<b>%", "response", None)}
+
+
+def test_long_words_are_counted_but_not_kept(spark):
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b" a", b"abab"]
+    automaton = token_counts.Automaton(pieces)
+    memory = token_counts._Memory(automaton)
+    long = b"ab" * 40
+    assert memory[long] == automaton.count(long) and memory[b"abab"] == automaton.count(b"abab")
+    assert list(memory) == [b"abab"]
+
+
+@pytest.mark.parametrize("column", ["n_words", "n_tokens"])
+def test_token_counts_of_a_table(spark, tables, column):
+    pieces = [bytes([b]) for b in range(256)] + [b" w", b"word", b" t", b"ot", b"other", b" s", b"hort"]
+
+    def greedy(word):
+        rest, n = b" " + word, 0
+        while rest:
+            rest, n = rest[max(len(p) for p in pieces if rest.startswith(p)):], n + 1
+        return n
+
+    want = [
+        len((t or "").encode().split()) if column == "n_words" else sum(map(greedy, (t or "").encode().split())) for _, t in ROWS
+    ]
+    docs = spark.read.parquet(f"{tables}/full/documents.parquet")
+    assert sorted(r[column] for r in token_counts.token_counts(docs, pieces).collect()) == sorted(want)
+
+
 def test_lines_by_position(spark):
     prepare(spark)
     docs = spark.createDataFrame([(k, f"a{k}\n  SAME line \nb{k}\n\n") for k in range(3)], "doc_id bigint, text string")
