@@ -2,6 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the
 next stage's documents. All but the last return the columns of the documents.
+
+In every stage NULL counts as an empty text, texts are taken whole at any length, a NULL or repeated id is an id like others, the
+documents may have more columns under any names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ MIN_QUALITY = 0.7
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least the limit; the classifier learns as in op1. All stay if nothing could be learned."""
+    """Documents whose quality score is at least the limit; the classifier learns as in op1. All stay if nothing could be learned.
+
+    NULL and empty texts share one score, repeated rows too, so they stay or go together.
+    """
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     plain, key = positional(docs), place_of(docs, "doc_id")
@@ -33,25 +39,31 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with the same text up to blanks."""
+    """One document of each group with the same text up to blanks: the longest, then that of the smallest id, then the first stored.
+
+    NULL, empty and blank texts are one group.
+    """
     prepare(spark)
     return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: that of the smallest id (NULL is the largest), then the first stored.
+
+    Texts with the same words are always one class, so NULL, empty and blank texts are one.
+    """
     prepare(spark)
     return near_dedup.without_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; those without words contain none."""
     prepare(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; a document without words is a piece of one token, its end."""
     prepare(spark)
     return packing.pack(docs)
 
