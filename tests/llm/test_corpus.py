@@ -454,6 +454,12 @@ def test_repeats_match_brute_force(spark, tables, group_contexts):
         assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (int((~keep).sum()), bytes(np.frombuffer(d, np.uint8)[keep]))
 
 
+@pytest.mark.parametrize("length", [1001, 31, 0])
+def test_lengths_that_do_not_fit_are_refused(length):
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(None, length=length)
+
+
 def test_paths_of_exact_dedup(spark, tables):
     content = f"{tables}/full/documents.parquet"
     want = sorted(map(str, exact_dedup.exact_dedup(spark, content).select("doc_id", "keep_id", "kept").collect()))

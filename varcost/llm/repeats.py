@@ -32,6 +32,8 @@ from varcost.llm.common import FILE, ROW, RunningHash, mix, record_batch, text_s
 from varcost.sinks.scratch import stage
 
 LENGTH = 200
+# Offsets of windows are packed in ten bits each.
+MAX_LENGTH = 1000
 SEED = 32
 # Distinct contexts of one seed that one suffix array takes; more are counted by window.
 GROUP_CONTEXTS = 2000
@@ -296,8 +298,10 @@ def remove_repeats(
     else, in another row or the same, also overlapping; all on the input as it is. ``n_spans`` counts the maximal runs
     removed, and ``kept`` is the rest, joined, which may split a character. Texts shorter than ``length`` keep all.
     Copies of a row, whatever their ids, are repeats of each other. An empty table gives an empty result. Only
-    the id and the text are read. ``length`` may be up to 1000.
+    the id and the text are read. ``length`` may be from ``seed`` to ``MAX_LENGTH``; others raise an error.
     """
+    if not seed <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be from {seed} to {MAX_LENGTH}, not {length}")
     located = with_locator(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "documents")
     kind = located.schema["doc_id"].dataType.simpleString()
     found = located.select(FILE, ROW, "text").mapInArrow(
