@@ -169,36 +169,35 @@ def _scored(pairs: DataFrame, texts: DataFrame, size: int, name: str) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """``node, class``: the smallest node of each connected component of ``links`` (``a``, ``b``).
 
-    Every round hands each node the smallest class of its neighbours and then that class's own class, so
-    the reach of a label doubles; rounds grow with the logarithm of a component's diameter. Minima are
-    combined map-side, so a pivot with very many links costs a row per task.
+    Every round points each node to the smallest of itself and its neighbours, and on to where that one points. Links between
+    what is left are carried into the next round, where repeated ones and loops are gone, so rounds work on ever
+    smaller tables. Nodes are digests: along a path they are in random order, so runs that fall from node to node are short, and
+    rounds grow with the logarithm of the nodes. Minima and distinct links are combined map-side, so a pivot with very
+    many links costs a row per task; the joins have staged tables on both sides, so a hot node's rows may be split.
     """
-    both = stage(links.select("a", "b").union(links.select("b", "a")), "links")
-    labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("class")).withColumnRenamed("a", "node"), "labels")
+    edges, classes = stage(links.select("a", "b"), "links"), None
     while True:
-        offered = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a").agg(F.min("class").alias("offer")).withColumnRenamed("a", "node")
-        )
-        hooked = labels.join(offered, "node").select("node", F.least("class", "offer").alias("to"), F.col("class").alias("was"))
-        # A class may itself have moved on: hand its members its best offer, then jump once more.
-        moved = hooked.groupBy("was").agg(F.min("to").alias("best")).withColumnRenamed("was", "from")
-        stepped = hooked.join(moved, F.col("was") == F.col("from")).select("node", F.least("to", "best").alias("to"), "was")
-        jump = stage(stepped, "stepped")
-        beyond = jump.select(F.col("node").alias("at"), F.col("to").alias("then"))
-        after = stage(
-            jump.join(beyond, F.col("to") == F.col("at")).select("node", F.least("to", "then").alias("class"), "was"), "labels"
-        )
-        labels = after.select("node", "class")
-        if not after.filter("class <> was").limit(1).count():
-            return labels
+        both = edges.union(edges.select("b", "a"))
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")).withColumnRenamed("a", "node"), "low")
+        onward = low.toDF("at", "class")
+        step = stage(low.join(onward, F.col("low") == F.col("at")).select("node", "class"), "step")
+        if classes is None:
+            classes = step
+        else:
+            moved = classes.join(step.toDF("class", "next"), "class", "left")
+            classes = stage(moved.select("node", F.coalesce("next", "class").alias("class")), "classes")
+        ends = edges.join(step.toDF("a", "class_a"), "a").join(step.toDF("b", "class_b"), "b").filter("class_a <> class_b")
+        edges = stage(ends.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct(), "links")
+        if not edges.limit(1).count():
+            return classes
 
 
-def _with_similarity(members: DataFrame, scored: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each member's class now, and its similarity to the first pivot as far as it was compared."""
+def _beside_pivot(members: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """Each member's similarity to its bucket's pivot, and the pivot as its class where the two are linked."""
     known = scored.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "similarity")
     known = known.union(known.select("pivot", "node", "similarity"))
-    return _in_class(members.join(known, ["node", "pivot"], "left"), classes)
+    linked = F.col("similarity") >= threshold - ROUNDING
+    return members.join(known, ["node", "pivot"], "left").withColumn("class", F.when(linked, F.col("pivot")).otherwise(F.col("node")))
 
 
 def _in_class(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -341,21 +340,21 @@ def near_dedup(
         scored = _scored(pairs, texts, shingle_words, f"star{turn}")
         found = scored.filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
         links = found if links is None else links.unionByName(found)
-        classes = components(links)
-        spread = spread.drop("class")
         if turn + 1 < PIVOTS:
-            spread = stage(_next_pivots(_unsettled(_with_similarity(spread, scored, classes))), f"pivots{turn}")
-        else:
-            spread = _in_class(spread, classes)
+            spread = stage(_next_pivots(_unsettled(_beside_pivot(spread.drop("class"), scored, threshold))), f"pivots{turn}")
+    classes = components(links)
+    spread = _in_class(spread.drop("class"), classes)
 
     # Nodes that some bucket still holds together with another class.
     open_nodes = stage(_unsettled(spread).select("node", "class").distinct(), "unsettled")
     open_pairs = _prefix_pairs(open_nodes.join(texts, "node"), shingle_words, threshold)
     completed = _scored(open_pairs, texts, shingle_words, "rest").filter(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
-    if completed.limit(1).count():
-        classes = components(links.unionByName(completed))
 
-    named = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    # The last links are between classes, which are few: these become the nodes.
+    known = open_nodes.select("node", "class")
+    between = completed.join(known.toDF("a", "class_a"), "a").join(known.toDF("b", "class_b"), "b")
+    merged = components(between.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
+    named = _in_class(rows, classes).join(merged.toDF("class", "merged"), "class", "left").withColumn("class", F.coalesce("merged", "class"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)
     heads = stage(named.groupBy("class").agg(F.min(first).alias("head"), F.count("*").alias("class_size")), "heads")
     return named.join(heads, "class").select(
