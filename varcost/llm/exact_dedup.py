@@ -26,6 +26,8 @@ _STATE_CONF = {
     # All state partitions of an executor share this much native memory.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Each state partition would reserve 4 MB for its list of files, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
