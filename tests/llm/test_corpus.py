@@ -1,6 +1,7 @@
 """The corpus operators against SQL, brute force and round trips, with the awkward inputs."""
 
 import collections
+import hashlib
 import io
 import math
 import sys
@@ -29,7 +30,7 @@ ROWS = [
     (1, PROSE), (2, PROSE), (2, PROSE), (3, PROSE.replace(" ", "  ")), (4, PROSE.replace("word5x5", "other", 1)), (None, PROSE),
     (5, None), (6, ""), (7, " \t\n"), (8, "short"), (8, "other text"), (9, LONG), (10, "é\nÀ\nnul\x00\n" + PROSE[:300]),
 ]
-SCHEMA = "doc_id bigint, text string, lang string, score string, __file string, row string"
+SCHEMA = "doc_id bigint, text string, lang string, score string, __file string, row string, source string, n_chars bigint"
 OPERATORS = [n for n in QUERIES if n.startswith("op")]
 
 
@@ -38,7 +39,7 @@ def tables(spark, tmp_path_factory):
     prepare(spark)
     base = tmp_path_factory.mktemp("tables")
     for name, rows in (("full", ROWS), ("empty", [])):
-        spark.createDataFrame([(i, t, "en", "s", "f", "r") for i, t in rows], SCHEMA).repartition(2).write.parquet(f"{base}/{name}/documents.parquet")
+        spark.createDataFrame([(i, t, "en", "s", "f", "r", "a", None if t is None else len(t)) for i, t in rows], SCHEMA).repartition(2).write.parquet(f"{base}/{name}/documents.parquet")
         spark.createDataFrame([(i, None if i == 5 else f"http://x/{i} \r\n", t) for i, t in rows], "page_id bigint, url string, html string").write.parquet(f"{base}/{name}/pages.parquet")
         items = [(1, PROSE[700:1000]), (2, None), (3, "short")] if rows else []
         spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{base}/{name}/benchmark.parquet")
@@ -50,7 +51,9 @@ def tables(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_awkward_and_empty_tables(spark, tables, name):
     n = QUERIES[name](spark, f"{tables}/full").count()
-    assert n == len(ROWS) if name not in ("op9_packing", "op10_decontamination") else n >= 6
+    # Pieces, found passages and differences between sources (there is one) have counts of their own.
+    least = {"op9_packing": 6, "op10_decontamination": 6, "op12_windows": len(ROWS), "op13_divergence": 0}
+    assert n >= least[name] if name in least else n == len(ROWS)
     assert QUERIES[name](spark, f"{tables}/empty").count() == 0
 
 
@@ -127,6 +130,32 @@ def _prefix_pair(shared, union, name):
     return " ".join(words), " ".join(words[:shared + 4])
 
 
+def test_components_match_union_find(spark):
+    name = lambda k: hashlib.blake2b(str(k).encode(), digest_size=16).digest()
+    rng = np.random.default_rng(5)
+    links = [(k, k + 1) for k in range(60)]  # a path
+    links += [(100, k) for k in range(101, 180)] + [(k, 100) for k in range(101, 110)]  # a star with repeated links
+    links += [(200 + k, 200 + (k + 1) % 9) for k in range(9)]  # a ring
+    links += [(300 + int(a), 300 + int(b)) for a, b in rng.integers(0, 150, (110, 2)) if a != b]
+    parent = {}
+
+    def top(k):
+        while parent.setdefault(k, k) != k:
+            k = parent[k]
+        return k
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    groups = collections.defaultdict(list)
+    for k in list(parent):
+        groups[top(k)].append(name(k))
+    wanted = {node: min(group) for group in groups.values() for node in group}
+    rows = [(bytearray(name(a)), bytearray(name(b))) for a, b in links]
+    found = near_dedup.components(spark.createDataFrame(rows, "a binary, b binary")).collect()
+    assert len(found) == len(wanted) and {bytes(r["node"]): bytes(r["class"]) for r in found} == wanted
+    assert near_dedup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
 def test_pairs_at_the_threshold_are_similar(spark):
     prepare(spark)
     sizes = [(4 * k, 5 * k) for k in (3, 12, 16, 32, 100)]
