@@ -29,6 +29,16 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def fresh_catalogue(spark):
+    """No module sees the tables and views of another: all share one session."""
+    yield
+    spark.sql("DROP DATABASE IF EXISTS dw_test CASCADE")
+    for table in spark.catalog.listTables():
+        if table.isTemporary:
+            spark.catalog.dropTempView(table.name)
+
+
 @pytest.fixture(scope="session")
 def small():
     """The smallest given tables."""

@@ -22,8 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varcost.functions.joins import join_null_safe
-
 # Bits of each digit of a value within its octave. A group has at most 2,102 octaves, an octave
 # 2**10 cells at the next level, and such a cell 2**16 at the last.
 DIGIT_BITS = (10, 16)
@@ -106,9 +104,13 @@ def magnitude_ranks(
 
 
 def join_ranks(df: DataFrame, ranks: DataFrame, group: str, magnitude: Column) -> DataFrame:
-    """Add the rank of ``magnitude`` to every row of ``df``."""
-    keyed = df.withColumn("_score", scored(magnitude))
-    return join_null_safe(keyed, ranks, [group], never_null=["_score"]).drop("_score")
+    """Add the rank of ``magnitude`` to every row of ``df``.
+
+    The value is a join key, not a column of ``df``: it does not travel, only what it is computed from.
+    """
+    keyed = ranks.withColumnsRenamed({group: f"_right_{group}", "_score": "_right_score"})
+    same = df[group].eqNullSafe(keyed[f"_right_{group}"]) & (scored(magnitude) == keyed["_right_score"])
+    return df.join(keyed, same, "left").drop(f"_right_{group}", "_right_score")
 
 
 def _with_rows_above(counts: DataFrame, partition: Sequence[str], order: str) -> DataFrame:

@@ -68,6 +68,25 @@ def catalogue_dimension(clean_catalogue: DataFrame) -> DataFrame:
     return conform_to(keyed, DIM_CATALOGUE)
 
 
+def with_dimension_keys(variance: DataFrame, provider_history: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Add what the fact needs of the dimensions: ``prestador_sk``, unless it is there, and whether the drug is known."""
+    if "prestador_sk" not in variance.columns:
+        variance = scd2.as_of_month(variance, provider_history)
+    drugs = catalogue.select("codigo_sns", F.lit(True).alias("_known_drug"))
+    return variance.join(drugs, "codigo_sns", "left")
+
+
+def as_fact(keyed: DataFrame, run: Run) -> DataFrame:
+    """The warehouse shape of rows with dimension keys: row by row, so it may follow the last shuffle of the rows."""
+    unknown = {"prestador_sk": K.UNKNOWN_KEY, "medicamento_sk": K.UNKNOWN_KEY}
+    made = keyed.withColumns({
+        "medicamento_sk": F.when(F.col("_known_drug"), surrogate_key(F.col("codigo_sns"))),
+        "fact_id": fact_key(),
+        "periodo_id": F.col("periodo"),
+    })
+    return conform_to(with_lineage(made, run), FACT, unknown)
+
+
 def star_fact(
     variance: DataFrame, provider_history: DataFrame, catalogue: DataFrame, run: Run
 ) -> DataFrame:
@@ -76,13 +95,4 @@ def star_fact(
     The provider key is that of the version in force in the fact's month. Rows without a
     dimension row point to the unknown member, as foreign keys are NOT NULL.
     """
-    drugs = catalogue.select(
-        "codigo_sns", surrogate_key(F.col("codigo_sns")).alias("medicamento_sk")
-    )
-    keyed = (
-        scd2.as_of_month(variance, provider_history)
-        .join(drugs, "codigo_sns", "left")
-        .withColumns({"fact_id": fact_key(), "periodo_id": F.col("periodo")})
-    )
-    unknown = {"prestador_sk": K.UNKNOWN_KEY, "medicamento_sk": K.UNKNOWN_KEY}
-    return conform_to(with_lineage(keyed, run), FACT, unknown)
+    return as_fact(with_dimension_keys(variance, provider_history, catalogue), run)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from varcost import constants as K
 from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
+from varcost.operators import scd2
 from varcost.operators.ranking import DIGIT_BITS, join_ranks, magnitude_ranks
 
 
@@ -33,6 +34,12 @@ class VarianceSpec:
 
 SPEC = VarianceSpec()
 
+# What :func:`budget_variance` adds to the costs.
+VARIANCE_COLUMNS = (
+    "desvio_pct", "desvio_abs_ars", "alerta_flag", "severidad", "desvio_pct_anterior", "tendencia",
+    "costo_real_acum_prestador", "rank_desvio_periodo",
+)
+
 
 def with_ratio(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """Add ``desvio_pct`` and ``desvio_abs_ars``."""
@@ -49,16 +56,19 @@ def with_bands(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     })
 
 
+def _series(spec: VarianceSpec) -> WindowSpec:
+    return Window.partitionBy(spec.provider, spec.item).orderBy(
+        F.col(spec.month).asc_nulls_first(), F.col(spec.actual), F.col(spec.budget)
+    )
+
+
 def with_previous(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """Add ``desvio_pct_anterior``: the variance of the previous row of the same series.
 
     A series is one provider and drug, with one row per month (the fact's grain), so a window
     partition is no longer than the calendar. Months without a row are skipped, not filled.
     """
-    series = Window.partitionBy(spec.provider, spec.item).orderBy(
-        F.col(spec.month).asc_nulls_first(), F.col(spec.actual), F.col(spec.budget)
-    )
-    return df.withColumn("desvio_pct_anterior", F.lag("desvio_pct").over(series))
+    return df.withColumn("desvio_pct_anterior", F.lag("desvio_pct").over(_series(spec)))
 
 
 def with_trend(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
@@ -96,21 +106,44 @@ def with_provider_total(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     return join_null_safe(df, provider_totals(df, spec), [spec.provider, spec.month])
 
 
-def with_totals_and_ranks(trended: DataFrame, banded: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
-    """Add provider totals and month ranks to the rows of ``banded`` as they are in ``trended``.
+def with_totals_and_ranks(
+    trended: DataFrame, costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None
+) -> DataFrame:
+    """Add month ranks and provider totals to the rows of ``costs`` as they are in ``trended``.
 
     Totals and ranks are taken from the costs themselves, so each reads only the columns it
-    needs from the scan.
+    needs from the scan. ``trended`` needs no column that :func:`with_ratio` and :func:`with_bands` add: every column
+    it has goes through both joins, and those are sooner computed than sent.
+
+    With the provider ``history`` rows also get ``prestador_sk``, the version in force in their month. It is the same for all
+    rows of a provider and month, so it is looked up for the totals and no join of the rows is needed for it.
     """
-    totals, ranks = provider_totals(banded, spec), month_ranks(banded, spec)
-    whole = join_null_safe(trended, totals, [spec.provider, spec.month])
-    return join_ranks(whole, ranks, spec.month, F.abs("desvio_pct"))
+    totals, ranks = provider_totals(costs, spec), month_ranks(with_ratio(costs, spec), spec)
+    if history is not None:
+        totals = scd2.as_of_month(totals, history, spec.provider, spec.month)
+    ranked = join_ranks(trended, ranks, spec.month, F.abs(V.ratio(F.col(spec.actual), F.col(spec.budget))))
+    # Last, so that rows of a provider and month are neighbours: what they share compresses well from here on.
+    return join_null_safe(ranked, totals, [spec.provider, spec.month])
+
+
+def narrow_variance(costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None) -> DataFrame:
+    """Costs with the variance columns that take more than the row itself; the rest comes from ratio and bands."""
+    series = _series(spec)
+    variance = V.ratio(F.col(spec.actual), F.col(spec.budget))
+    previous = V.ratio(F.lag(spec.actual).over(series), F.lag(spec.budget).over(series))
+    trended = costs.withColumn("desvio_pct_anterior", previous).withColumn(
+        "tendencia", V.trend(variance, F.col("desvio_pct_anterior"))
+    )
+    return with_totals_and_ranks(trended, costs, spec, history)
 
 
-def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
-    """Every variance column of the fact, of costs that hold the whole series."""
-    banded = with_bands(with_ratio(costs, spec), spec)
-    return with_totals_and_ranks(with_trend(banded, spec), banded, spec)
+def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None) -> DataFrame:
+    """Every variance column of the fact, of costs that hold the whole series.
+
+    With the provider ``history`` also ``prestador_sk``, see :func:`with_totals_and_ranks`.
+    """
+    whole = with_bands(with_ratio(narrow_variance(costs, spec, history), spec), spec)
+    return whole.select(*costs.columns, *VARIANCE_COLUMNS, *([] if history is None else ["prestador_sk"]))
 
 
 def active_alerts(variance: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -54,6 +54,7 @@ def write_table(
     replace_table: bool = False,
     observation: Observation | None = None,
     metrics: Sequence[Column] = (),
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Written:
     """Write a table and return where it went.
 
@@ -65,16 +66,22 @@ def write_table(
 
     ``metrics`` are aggregates that ``observation`` takes of the rows as they are written to files, in the tasks that write them;
     rows that go to a connector are not observed.
+
+    ``finish`` gives rows their final columns, each row by itself, after they have been arranged: what can be computed from a row is
+    not shuffled and sorted with it. It must keep the partition and cluster columns. Parquet is compressed by zstd, which halves
+    the hexadecimal keys, unless ``options`` name another ``compression``.
     """
 
     if fmt in FILE_FORMATS:
         rows = laid_out(df, partition_by, cluster_by)
+        rows = rows if finish is None else finish(rows)
         writer = (rows if observation is None else rows.observe(observation, *metrics)).write.mode(mode)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
             if mode == "overwrite":
                 writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.format(fmt).options(**(options or {})).save(target)
+        packed = {"compression": "zstd"} if fmt == "parquet" else {}
+        writer.format(fmt).options(**{**packed, **(options or {})}).save(target)
         return Written(fmt, target)
     if mode == "overwrite" and partition_by and not replace_table:
         raise ValueError(f"{fmt} may replace the whole table: append, or ask for it with replace_table")
@@ -84,7 +91,7 @@ def write_table(
     if cluster_by:
         layout["clusteredFields"] = ",".join(cluster_by)
     try:
-        df.write.format(fmt).options(**layout, **(options or {})).mode(mode).save()
+        (df if finish is None else finish(df)).write.format(fmt).options(**layout, **(options or {})).mode(mode).save()
         return Written(fmt, target)
     except (Py4JJavaError, PySparkException) as error:
         if fallback is None or "DATA_SOURCE_NOT_FOUND" not in str(error):
@@ -92,14 +99,14 @@ def write_table(
     # As files, partitions can be replaced one by one, so a rerun leaves one copy.
     return write_table(
         df, fallback, "parquet", "overwrite" if partition_by else mode, partition_by, cluster_by,
-        observation=observation, metrics=metrics,
+        observation=observation, metrics=metrics, finish=finish,
     )
 
 
 def write_spec(df: DataFrame, spec: TableSpec, base: str, **kwargs) -> Written:
     """Write a warehouse table under ``base`` with the layout of its specification."""
     return write_table(
-        df.select(*spec.schema.names),
+        df if "finish" in kwargs else df.select(*spec.schema.names),
         f"{base}/{spec.name}",
         partition_by=spec.partition_by,
         cluster_by=spec.cluster_by,

@@ -57,8 +57,8 @@ def trended(spark, sf_dir):
     return variance.with_trend(banded(spark, sf_dir)).withColumn("periodo_id", F.col("periodo"))
 
 
-def full(spark, sf_dir):
-    return variance.budget_variance(staged_costs(spark, sf_dir))
+def full(spark, sf_dir, history=None):
+    return variance.budget_variance(staged_costs(spark, sf_dir), history=history)
 
 
 # Dimensions come from a table, as in the monthly run: the planner then knows their size and
@@ -264,25 +264,29 @@ def fact_grain(spark, sf_dir):
     return quality.grain_violations(A.costs(spark, sf_dir), ["prestador_id", "periodo"])
 
 
-def star_rows(spark, sf_dir):
-    return star.star_fact(
-        full(spark, sf_dir), staged_history(spark, sf_dir), staged_catalogue(spark, sf_dir), RUN
-    )
-
-
 def fact_star(spark, sf_dir):
-    return comparable(star_rows(spark, sf_dir).drop("_calc_ts"))
+    history = staged_history(spark, sf_dir)
+    rows = star.star_fact(full(spark, sf_dir, history), history, staged_catalogue(spark, sf_dir), RUN)
+    return comparable(rows.drop("_calc_ts"))
 
 
 def sink_roundtrip(spark, sf_dir):
     """The fact written twice, month by month, with its layout, and read back."""
     base = f"{scratch_folder(spark)}/warehouse-{uuid.uuid4().hex}"
     spec = WAREHOUSE["fact_costos_prestacionales"]
-    rows = stage(star_rows(spark, sf_dir), "fact")
-    path = write_spec(rows, spec, base).target
+    history = staged_history(spark, sf_dir)
+    narrow = variance.narrow_variance(staged_costs(spark, sf_dir), history=history).drop("desvio_pct_anterior")
+    # What both writes share is what takes joins; the other columns are computed as rows are written.
+    staged = stage(star.with_dimension_keys(narrow, history, staged_catalogue(spark, sf_dir)), "fact")
+    rows = variance.with_bands(variance.with_ratio(staged)).drop("desvio_pct", "desvio_abs_ars")
+
+    def finish(df):
+        return star.as_fact(variance.with_ratio(df), RUN)
+
+    path = write_spec(rows, spec, base, finish=finish).target
     # A rerun of some months replaces them and leaves the others alone.
     rerun = rows.filter(F.col("periodo") >= "2000")
-    write_table(rerun, path, partition_by=spec.partition_by, cluster_by=spec.cluster_by)
+    write_table(rerun, path, partition_by=spec.partition_by, cluster_by=spec.cluster_by, finish=finish)
     return comparable(spark.read.schema(FACT).parquet(path).drop("_calc_ts"))
 
 
@@ -291,7 +295,7 @@ def monthly_run(spark, sf_dir):
     base = f"{scratch_folder(spark)}/run-{uuid.uuid4().hex}"
     A.raw_catalogue(spark, sf_dir).drop("p_partkey").write.parquet(f"{base}/raw/nomenclador")
     A.raw_providers(spark, sf_dir).drop("ver").write.parquet(f"{base}/raw/prestadores")
-    A.costs(spark, sf_dir).write.parquet(f"{base}/raw/costos")
+    A.costs(spark, sf_dir).write.option("compression", "zstd").parquet(f"{base}/raw/costos")
     result = run_monthly(spark, use_mock=False, landing=f"{base}/raw", output=f"{base}/dw", run=RUN)
     return comparable(spark.read.schema(FACT).parquet(result["fact"]).drop("_calc_ts"))
 
