@@ -32,9 +32,10 @@ def last_observations(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
 
     One aggregate that combines map-side. Rows need ``desvio_pct`` besides the columns of the specification.
     """
-    last = F.struct(spec.month, spec.actual, spec.budget, "desvio_pct")
-    found = df.groupBy(spec.provider, spec.item).agg(F.max_by(last, _place(spec)).alias("last"))
-    return found.select(spec.provider, spec.item, "last.*")
+    # The variance is last, so it only decides between rows that are alike in all else, the same on every run.
+    last = F.struct(F.col(spec.month).isNotNull().alias("_known"), spec.month, spec.actual, spec.budget, "desvio_pct")
+    found = df.groupBy(spec.provider, spec.item).agg(F.max(last).alias("last"))
+    return found.select(spec.provider, spec.item, "last.*").drop("_known")
 
 
 def merged_carry(carry: DataFrame | None, df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:

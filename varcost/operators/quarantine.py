@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from varcost.functions.joins import join_null_safe
 from varcost.operators.quality import FAIL, PASS
+from varcost.sinks.scratch import stage
 
 REASONS = "motivos"
 REPEATED = "grain"
@@ -44,12 +45,13 @@ def tagged(df: DataFrame, rules: Sequence[Rule], grain: Sequence[str] = ()) -> D
     """Add ``motivos``: the names of the rules that the row breaks, in order; ``grain`` if its key is repeated.
 
     All rows of a repeated key are tagged, since none of them can be told to be the right one. Keys are counted map-side and only the
-    repeated ones joined back, so neither a hot key nor a third of all rows being copies gathers rows in a task.
+    repeated ones joined back, so neither a hot key nor a third of all rows being copies gathers rows in a task. They are staged: their
+    size is then known before the join, and few of them, as is usual, are broadcast instead of shuffling all rows to meet them.
     """
     broken = [F.when(r.broken, F.lit(r.name)) for r in rules]
     if grain:
         repeated = df.groupBy(*grain).agg(F.count("*").alias("_n")).filter("_n > 1").select(*grain, F.lit(True).alias("_repeated"))
-        df = join_null_safe(df, repeated, list(grain))
+        df = join_null_safe(df, stage(repeated, "repeated"), list(grain))
         broken.append(F.when(F.col("_repeated"), F.lit(REPEATED)))
     return df.withColumn(REASONS, F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")).drop("_repeated")
 

@@ -173,15 +173,18 @@ def run_monthly(
 
     spec = WAREHOUSE["fact_costos_prestacionales"]
     parquet_path = f"{output}/{spec.name}"
-    banded = with_bands(with_ratio(costs))
+    scored = with_ratio(costs).drop("desvio_abs_ars")
     carry_path = f"{output}/carry"
     before = loaded_fact(spark, parquet_path)
-    load = trend_load(banded, None if before is None else _observations(before), read_latest(spark, carry_path))
-    fact = star.star_fact(with_totals_and_ranks(load.rows, banded), history, catalogue, run)
+    load = trend_load(scored, None if before is None else _observations(before), read_latest(spark, carry_path))
+    # Columns that a row gives by itself are computed as it is written.
+    trended = load.rows.drop("desvio_pct", "desvio_pct_anterior")
+    keyed = star.with_dimension_keys(with_totals_and_ranks(trended, costs, history=history), history, catalogue)
+    fact, finish = with_bands(with_ratio(keyed)).drop("desvio_pct", "desvio_abs_ars"), lambda df: star.as_fact(with_ratio(df), run)
     if load.corrected is not None:
-        fixed = corrected_months(before, load.corrected)
+        fixed, fact, finish = corrected_months(before, load.corrected), finish(fact), None
         fact = stage(fact if fixed is None else fact.unionByName(fixed), "fact")  # months are replaced that are read
-    carry = stage(load.carry, "carry")
+    carry = load.carry if load.corrected is None else stage(load.carry, "carry")  # as in load_trends
     this_run = F.col("run_id") == run.run_id
     seen = Observation("fact")
     metrics = {
@@ -201,12 +204,13 @@ def run_monthly(
         fallback=parquet_path,
         observation=seen,
         metrics=[metric.alias(name) for name, metric in metrics.items()],
+        finish=finish,
     )
     write_version(carry, carry_path, run.run_id)
     if written.fmt in FILE_FORMATS:
         counts = seen.get  # taken while the fact was written
     else:
-        counts = fact.agg(*(metric.alias(name) for name, metric in metrics.items())).first().asDict()
+        counts = (fact if finish is None else finish(fact)).agg(*(metric.alias(name) for name, metric in metrics.items())).first().asDict()
     if database:
         publish(spark, database, {**locations, spec.name: written.target})
     return {

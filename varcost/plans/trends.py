@@ -82,7 +82,8 @@ def load_trends(rows: DataFrame, path: str, run_id: str, spec: VarianceSpec = SP
         fixed = corrected_months(history, load.corrected, spec)
         new = new if fixed is None else new.unionByName(fixed)
         new = stage(new, "trends")  # months are replaced that are read
-    carry = stage(load.carry, "carry")
+    # Only a reload's carry reads the months that are replaced next.
+    carry = load.carry if load.corrected is None else stage(load.carry, "carry")
     write_table(new, f"{path}/observaciones", partition_by=[spec.month], cluster_by=[spec.provider])
     write_version(carry, f"{path}/carry", run_id)
     return read_trends(spark, path, schema)

@@ -13,7 +13,7 @@ from varcost.plans.monthly import run_monthly
 from varcost.plans.trends import load_trends
 from varcost.sinks import buckets, clustering, ledger
 from varcost.sinks.scratch import scratch_folder, stage
-from varcost.sinks.writers import laid_out
+from varcost.sinks.writers import laid_out, write_table
 from varcost.sources.calendar import calendar_of
 from varcost.sources.footers import contract_problems
 from varcost.sources.readers import read_csv
@@ -59,7 +59,10 @@ def contract_files(spark, sf_dir):
 
 def trend_incremental(spark, sf_dir):
     """The trend of every row after years of monthly loads, the last of which repairs an old month."""
-    path, rows = _new_folder(spark, "trends"), stage(variance.with_ratio(A.costs(spark, sf_dir)), "scored")
+    path, costs = _new_folder(spark, "trends"), variance.with_ratio(A.costs(spark, sf_dir))
+    # Months are folders, as they come in, so that a load reads its own and not the whole table.
+    landed = write_table(costs, _new_folder(spark, "scored"), partition_by=["periodo"])
+    rows = landed.read(spark, costs.schema).select(*costs.columns)
     early = F.col("periodo") < FIRST_MONTHLY
     wrong = F.when(F.col("periodo") == RELOADED, 1 - F.col("desvio_pct")).otherwise(F.col("desvio_pct"))
     load_trends(rows.filter(early).withColumn("desvio_pct", wrong), path, "history")
@@ -92,7 +95,7 @@ def warehouse_views(spark, sf_dir):
     base, database = _new_folder(spark, "run"), f"dw_{uuid.uuid4().hex}"
     A.raw_catalogue(spark, sf_dir).drop("p_partkey").write.parquet(f"{base}/raw/nomenclador")
     A.raw_providers(spark, sf_dir).drop("ver").write.parquet(f"{base}/raw/prestadores")
-    A.costs(spark, sf_dir).write.parquet(f"{base}/raw/costos")
+    A.costs(spark, sf_dir).write.option("compression", "zstd").parquet(f"{base}/raw/costos")
     run_monthly(spark, use_mock=False, landing=f"{base}/raw", output=f"{base}/dw", database=database)
     return spark.sql(f"""
         SELECT 'resumen' AS vista, periodo_id, CAST(NULL AS string) AS prestador_id, total_transacciones AS n,
