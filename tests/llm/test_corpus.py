@@ -584,6 +584,33 @@ def test_prefixes_lose_no_similar_pair(spark):
     assert near_dedup._prefix_pairs(one, 5, 0.8).count() == 0 and near_dedup._prefix_pairs(nodes.limit(0), 5, 0.8).count() == 0
 
 
+def test_a_large_group_of_texts_below_the_threshold_gives_few_candidates(spark, monkeypatch):
+    prepare(spark)
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for _ in range(40):  # similarities about 0.74, edits that several texts share
+        words = list(base)
+        for at in rng.integers(0, 400, 6):
+            words[at] = f"new{at % 3}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base), " ".join(base[:-7])]
+    rows = [(bytearray([k]), bytearray([k]), t) for k, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node binary, class binary, text string")
+    staged, stage = {}, near_dedup.stage
+
+    def keep(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(near_dedup, "stage", keep)
+    kept = [(bytes(r["a"])[0], bytes(r["b"])[0]) for r in near_dedup._prefix_pairs(nodes, 5, 0.8).collect()]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) >= 40 and similar <= set(kept)
+    assert len(kept) == len(set(kept)) < len(texts) * (len(texts) - 1) / 4
+    assert near_dedup._meetings(staged["prefix"], 0.8).count() < 3 * len(kept)
+
+
 def test_long_header_lines_are_read():
     url = "http://x/" + "\u6f22" * 230_000  # nine characters each
     record = warc.encode_record("1", url, b"payload", None, False, "2020-01-01T00:00:00Z", 6)

@@ -12,8 +12,9 @@
 5. What pivots leave open is completed exactly by a prefix join. A node of a bucket that still holds several classes orders
    its shingles by how rare they are among all such nodes. If two of them are similar, the parts that they do not share weigh
    at most one minus the threshold, so the rarest shingle they share lies within that much weight of the rarest end of both.
-   Only these prefixes are joined; a node whose own shingles, that no other has, weigh more has none. A shingle whose bit the
-   other node's sketch lacks is not shared, either, and the join takes no pair for which that rules out the threshold.
+   Only these prefixes are joined; a node whose own shingles, that no other has, weigh more has none. What lies before the
+   rarest shared shingle is not shared in either text, and each bit that differs between their sketches of parities needs a shingle
+   that they do not share; the join takes no pair for which either rules out the threshold, and a pair seldom more than once.
 6. Classes are the connected components of the verified links.
 """
 
@@ -38,6 +39,8 @@ BANDS, BAND_ROWS = 20, 4
 PIVOTS = 2
 # Words of 64 bits that sketch the shingles of a node, to bound what two nodes share.
 BIT_WORDS = 16
+# Shingles of a prefix that each entry knows to come before it.
+RECENT = 8
 # Rounding that the sum of a similarity may have; a pair at the threshold is similar.
 ROUNDING = 1e-9
 
@@ -230,10 +233,10 @@ def _shingles(size: int):
                     ("weight", pa.array(weights.astype(np.int64))), ("total", pa.array(total[owner])),
                     ("bits", pa.nulls(len(owner), pa.list_(pa.int64()))),
                 ])
-                # And a row per node: a bit for each shingle, by its hash.
+                # And a row per node: each shingle flips a bit, by its hash. Shared ones flip the same bits in both nodes.
                 place = (mix(hashes) % np.uint64(64 * BIT_WORDS)).astype(np.int64)
                 bits = np.zeros((n, BIT_WORDS), np.uint64)
-                np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+                np.bitwise_xor.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
                 yield record_batch([
                     ("id", batch.column(0).slice(first, n)), ("class", batch.column(1).slice(first, n)), ("shingle", pa.nulls(n, pa.int64())),
                     ("weight", pa.nulls(n, pa.int64())), ("total", pa.array(total)),
@@ -243,6 +246,26 @@ def _shingles(size: int):
     return explode
 
 
+def _meetings(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Nodes of different classes that share a shingle of their prefixes and may be as similar as the threshold; few pairs repeat."""
+    words = [f"bits{k}" for k in range(BIT_WORDS)]
+
+    def side(name: str) -> DataFrame:
+        return prefix.select("shingle", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("class", "before", "recent", "total", *words)))
+
+    # Parts p and q that are not shared leave a similarity of at most (1 - p)(1 - q) / (1 - pq). Nothing before the first shingle that
+    # two nodes share is shared, so a similar pair passes there; at later ones it need not.
+    p, q = (F.col(f"before_{name}") / F.col(f"total_{name}") for name in "ab")
+    possible = (1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING
+    # Of parts that add up to c, equal ones leave the most: (2 - c) / (2 + c). A bit that differs takes a shingle not shared.
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
+    possible &= differing <= (2 * (1 - threshold) / (1 + threshold) + ROUNDING) * F.greatest("total_a", "total_b")
+    # Nodes that share a shingle shortly before this one have met there; the first that they share is never left out.
+    possible &= ~F.arrays_overlap("recent_a", "recent_b")
+    apart = F.expr("a < b AND class_a <> class_b")
+    return side("a").join(side("b").withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & possible).select("a", "b")
+
+
 def _prefix_pairs(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     """Pairs of ``nodes`` (``node``, ``class``, ``text``) of different classes that may be as similar as the threshold, none missing.
 
@@ -262,28 +285,14 @@ def _prefix_pairs(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
     # What no other node has comes first, then the rarest; equal ones by hash, the same order for every node.
     held = entries.join(shared, "shingle")
     own = Window.partitionBy("id")
-    before = own.orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    rarer = own.orderBy("n", "shingle")
     alone = F.col("total") - F.sum("weight").over(own)
-    prefix = (
-        held.withColumns({"alone": alone, "before": alone + F.coalesce(F.sum("weight").over(before), F.lit(0))})
-        .filter(F.col("before") <= (1 - threshold + ROUNDING) * F.col("total"))
-    )
-    prefix = stage(prefix.select("id", "class", "shingle", "alone", "total").join(sketches, "id"), "prefix")
+    before = alone + F.coalesce(F.sum("weight").over(rarer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    recent = F.collect_list("shingle").over(rarer.rowsBetween(-RECENT, -1))
+    prefix = held.withColumns({"before": before, "recent": recent}).filter(F.col("before") <= (1 - threshold + ROUNDING) * F.col("total"))
+    prefix = stage(prefix.select("id", "class", "shingle", "before", "recent", "total").join(sketches, "id"), "prefix")
 
-    def side(name: str) -> DataFrame:
-        return prefix.select("shingle", F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("class", "alone", "total", *words)))
-
-    # Parts p and q that are not shared leave a similarity of at most (1 - p)(1 - q) / (1 - pq).
-    p, q = (F.col(f"alone_{name}") / F.col(f"total_{name}") for name in "ab")
-    possible = (1 - p) * (1 - q) >= threshold * (1 - p * q) - ROUNDING
-    # Of parts that add up to c, equal ones leave the most: (2 - c) / (2 + c). A bit that one sketch has alone is a shingle not shared.
-    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    possible &= differing <= (2 * (1 - threshold) / (1 + threshold) + ROUNDING) * F.greatest("total_a", "total_b")
-    apart = F.expr("a < b AND class_a <> class_b")
-    pairs = (
-        side("a").join(side("b").withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & apart & possible)
-        .select("a", "b").distinct()
-    )
+    pairs = _meetings(prefix, threshold).distinct()
     names = named.select("id", "node")
     return (
         pairs.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
