@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from varcost import constants as K
@@ -44,15 +44,17 @@ def trend(current: Column, previous: Column) -> Column:
     )
 
 
-def money_sum(amount: Column) -> Column:
-    """Sum of a double amount that does not depend on the order rows arrive in.
+def money_sum(amount: Column, over: WindowSpec | None = None) -> Column:
+    """Sum of a double amount that does not depend on the order rows arrive in; ``over`` a window, if one is given.
 
     Decimals cannot hold NaN or infinity, so those are summed apart and outweigh the rest, as in
     a sum of doubles. An amount too large for the decimal is an error.
     """
     value = amount.cast("double")
-    not_finite = F.sum(F.when(F.isnan(value - value), value))
-    return F.coalesce(not_finite, F.sum(amount.cast(MONEY)).cast("double"))
+    not_finite, finite = F.sum(F.when(F.isnan(value - value), value)), F.sum(amount.cast(MONEY))
+    if over is not None:
+        not_finite, finite = not_finite.over(over), finite.over(over)
+    return F.coalesce(not_finite, finite.cast("double"))
 
 
 def ratio_of_sums(part: Column, whole: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
-from varcost.operators.variance import SPEC, VarianceSpec, with_previous
+from varcost.operators.variance import SPEC, VarianceSpec, observed, with_previous
 
 
 def _place(spec: VarianceSpec) -> Column:
@@ -70,7 +70,7 @@ def with_carried_previous(df: DataFrame, carry: DataFrame | None, spec: Variance
 def with_carried_trend(df: DataFrame, carry: DataFrame | None, spec: VarianceSpec = SPEC) -> DataFrame:
     """Add ``desvio_pct_anterior`` and ``tendencia`` after a carry."""
     return with_carried_previous(df, carry, spec).withColumn(
-        "tendencia", V.trend(F.col("desvio_pct"), F.col("desvio_pct_anterior"))
+        "tendencia", V.trend(observed(df, spec), F.col("desvio_pct_anterior"))
     )
 
 

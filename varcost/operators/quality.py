@@ -39,17 +39,25 @@ class NullRate:
 
 @dataclass(frozen=True)
 class Uniqueness:
-    """Distinct keys per row; less than ``limit`` warns. NULL counts as one more value."""
+    """Distinct keys per row; less than ``limit`` warns. NULL counts as one more value.
+
+    Where rows have been tagged, ``repeated`` is true on those whose key other rows have too: only they need to be told apart.
+    """
 
     columns: tuple[str, ...]
     limit: float = K.MIN_UNIQUENESS
+    repeated: Column | None = None
 
     @property
     def name(self) -> str:
         return f"uniqueness:{','.join(self.columns)}"
 
     def measure(self) -> Column:
-        distinct = F.count_distinct(F.struct(*self.columns))
+        key = F.struct(*self.columns)
+        if self.repeated is None:
+            distinct = F.count_distinct(key)
+        else:
+            distinct = F.count_if(~self.repeated) + F.count_distinct(F.when(self.repeated, key))
         return F.coalesce(F.try_divide(distinct, F.count("*")), F.lit(0.0))
 
     def status(self, value: Column) -> Column:
@@ -90,11 +98,8 @@ PROVIDER_SUITE: tuple[Check, ...] = (
     NullRate("nombre"),
     Uniqueness(("prestador_id",)),
 )
-COST_SUITE: tuple[Check, ...] = (
-    NullRate("costo_real"),
-    NullRate("costo_ppto"),
-    Uniqueness(("prestador_id", "codigo_sns", "periodo")),
-)
+COST_GRAIN = ("prestador_id", "codigo_sns", "periodo")
+COST_SUITE: tuple[Check, ...] = (NullRate("costo_real"), NullRate("costo_ppto"), Uniqueness(COST_GRAIN))
 
 
 def run_suite(df: DataFrame, dataset: str, checks: Sequence[Check]) -> DataFrame:

@@ -18,6 +18,14 @@ from varcost.functions.keys import surrogate_key
 
 PROVIDER_TRACKED = ("nombre", "especialidad", "region", "cuit", "cuit_valido", "habilitado")
 
+# Names a row's version by the day it begins: with the row's own key that gives the surrogate key, in a fraction of its bytes.
+VERSION_SINCE = "_version_since"
+
+
+def version_key(key: str = "prestador_id", since: str = "fecha_inicio") -> Column:
+    """Surrogate key of the version of ``key`` that began on ``since``; NULL without a version."""
+    return F.when(F.col(since).isNotNull(), surrogate_key(F.col(key), F.col(since)))
+
 
 def _finish(
     versions: DataFrame, key: str, tracked: Sequence[str], carried: Sequence[str], sk: str

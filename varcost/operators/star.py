@@ -69,8 +69,8 @@ def catalogue_dimension(clean_catalogue: DataFrame) -> DataFrame:
 
 
 def with_dimension_keys(variance: DataFrame, provider_history: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Add what the fact needs of the dimensions: ``prestador_sk``, unless it is there, and whether the drug is known."""
-    if "prestador_sk" not in variance.columns:
+    """Add what the fact needs of the dimensions: ``prestador_sk``, unless it or the version is there, and whether the drug is known."""
+    if not {"prestador_sk", scd2.VERSION_SINCE} & set(variance.columns):
         variance = scd2.as_of_month(variance, provider_history)
     drugs = catalogue.select("codigo_sns", F.lit(True).alias("_known_drug"))
     return variance.join(drugs, "codigo_sns", "left")
@@ -79,6 +79,8 @@ def with_dimension_keys(variance: DataFrame, provider_history: DataFrame, catalo
 def as_fact(keyed: DataFrame, run: Run) -> DataFrame:
     """The warehouse shape of rows with dimension keys: row by row, so it may follow the last shuffle of the rows."""
     unknown = {"prestador_sk": K.UNKNOWN_KEY, "medicamento_sk": K.UNKNOWN_KEY}
+    if scd2.VERSION_SINCE in keyed.columns:
+        keyed = keyed.withColumn("prestador_sk", scd2.version_key(since=scd2.VERSION_SINCE))
     made = keyed.withColumns({
         "medicamento_sk": F.when(F.col("_known_drug"), surrogate_key(F.col("codigo_sns"))),
         "fact_id": fact_key(),

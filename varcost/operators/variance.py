@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from varcost import constants as K
 from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
 from varcost.operators import scd2
-from varcost.operators.ranking import DIGIT_BITS, join_ranks, magnitude_ranks
+from varcost.operators.ranking import DIGIT_BITS, ROWS_PER_SLICE, join_ranks, magnitude_ranks, rank_slices, ranked_in_slices
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,11 @@ def with_bands(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     })
 
 
+def observed(df: DataFrame, spec: VarianceSpec = SPEC) -> Column:
+    """``desvio_pct`` of a row: the column, or where rows travel without it, the ratio of their amounts."""
+    return F.col("desvio_pct") if "desvio_pct" in df.columns else V.ratio(F.col(spec.actual), F.col(spec.budget))
+
+
 def _series(spec: VarianceSpec) -> WindowSpec:
     return Window.partitionBy(spec.provider, spec.item).orderBy(
         F.col(spec.month).asc_nulls_first(), F.col(spec.actual), F.col(spec.budget)
@@ -66,15 +71,21 @@ def with_previous(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """Add ``desvio_pct_anterior``: the variance of the previous row of the same series.
 
     A series is one provider and drug, with one row per month (the fact's grain), so a window
-    partition is no longer than the calendar. Months without a row are skipped, not filled.
+    partition is no longer than the calendar. Months without a row are skipped, not filled. Rows without ``desvio_pct``
+    travel without it, see :func:`observed`.
     """
-    return df.withColumn("desvio_pct_anterior", F.lag("desvio_pct").over(_series(spec)))
+    series = _series(spec)
+    if "desvio_pct" in df.columns:
+        previous = F.lag("desvio_pct").over(series)
+    else:
+        previous = V.ratio(F.lag(spec.actual).over(series), F.lag(spec.budget).over(series))
+    return df.withColumn("desvio_pct_anterior", previous)
 
 
 def with_trend(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """Add ``desvio_pct_anterior`` and ``tendencia``."""
     return with_previous(df, spec).withColumn(
-        "tendencia", V.trend(F.col("desvio_pct"), F.col("desvio_pct_anterior"))
+        "tendencia", V.trend(observed(df, spec), F.col("desvio_pct_anterior"))
     )
 
 
@@ -113,36 +124,61 @@ def with_totals_and_ranks(
 
     Totals and ranks are taken from the costs themselves, so each reads only the columns it
     needs from the scan. ``trended`` needs no column that :func:`with_ratio` and :func:`with_bands` add: every column
-    it has goes through both joins, and those are sooner computed than sent.
+    it has goes through both joins, and those are sooner computed than sent. For the provider ``history`` see :func:`with_totals`.
+    """
+    ranks = month_ranks(with_ratio(costs, spec), spec)
+    ranked = join_ranks(trended, ranks, spec.month, F.abs(observed(trended, spec)))
+    # Last, so that rows of a provider and month are neighbours: what they share compresses well from here on.
+    return with_totals(ranked, costs, spec, history)
+
 
-    With the provider ``history`` rows also get ``prestador_sk``, the version in force in their month. It is the same for all
-    rows of a provider and month, so it is looked up for the totals and no join of the rows is needed for it.
+def with_totals(
+    trended: DataFrame, costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None
+) -> DataFrame:
+    """Add the provider totals of ``costs`` to its rows as they are in ``trended``.
+
+    With the provider ``history`` rows also get the version in force in their month, as the day it began (``scd2.VERSION_SINCE``), from
+    which :func:`scd2.version_key` makes ``prestador_sk``. It is the same for all rows of a provider and month, so it is looked up for
+    the totals and no join of the rows is needed for it.
     """
-    totals, ranks = provider_totals(costs, spec), month_ranks(with_ratio(costs, spec), spec)
+    totals = provider_totals(costs, spec)
     if history is not None:
-        totals = scd2.as_of_month(totals, history, spec.provider, spec.month)
-    ranked = join_ranks(trended, ranks, spec.month, F.abs(V.ratio(F.col(spec.actual), F.col(spec.budget))))
-    # Last, so that rows of a provider and month are neighbours: what they share compresses well from here on.
-    return join_null_safe(ranked, totals, [spec.provider, spec.month])
+        versions = scd2.as_of_month(totals, history, spec.provider, spec.month, columns=("fecha_inicio",))
+        totals = versions.withColumnRenamed("fecha_inicio", scd2.VERSION_SINCE)
+    return join_null_safe(trended, totals, [spec.provider, spec.month])
 
 
-def narrow_variance(costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None) -> DataFrame:
-    """Costs with the variance columns that take more than the row itself; the rest comes from ratio and bands."""
-    series = _series(spec)
-    variance = V.ratio(F.col(spec.actual), F.col(spec.budget))
-    previous = V.ratio(F.lag(spec.actual).over(series), F.lag(spec.budget).over(series))
-    trended = costs.withColumn("desvio_pct_anterior", previous).withColumn(
-        "tendencia", V.trend(variance, F.col("desvio_pct_anterior"))
-    )
-    return with_totals_and_ranks(trended, costs, spec, history)
+def ranked_by_month(
+    df: DataFrame, costs: DataFrame, spec: VarianceSpec = SPEC, rows: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Add ``rank_desvio_periodo`` to the rows of ``costs`` as they are in ``df``, gathered by month for :func:`write_table`.
+
+    One shuffle both ranks the rows and lays them out. A task holds whole months or slices of a large one, each of about ``rows`` rows.
+    """
+    slices = rank_slices(costs, spec.month, F.abs(observed(costs, spec)), rows)
+    salt = (spec.provider, spec.item, spec.actual, spec.budget)
+    return ranked_in_slices(df, slices, spec.month, F.abs(observed(df, spec)), "rank_desvio_periodo", salt)
+
+
+def narrow_variance(
+    costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None, ranked: bool = True
+) -> DataFrame:
+    """Costs with the variance columns that take more than the row itself; the rest comes from ratio and bands.
+
+    Not ``ranked`` is for rows that :func:`ranked_by_month` ranks as it gathers them.
+    """
+    trended = with_trend(costs, spec)
+    return with_totals_and_ranks(trended, costs, spec, history) if ranked else with_totals(trended, costs, spec, history)
 
 
 def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None) -> DataFrame:
     """Every variance column of the fact, of costs that hold the whole series.
 
-    With the provider ``history`` also ``prestador_sk``, see :func:`with_totals_and_ranks`.
+    With the provider ``history`` also ``prestador_sk``, see :func:`with_totals`.
     """
     whole = with_bands(with_ratio(narrow_variance(costs, spec, history), spec), spec)
+    if history is not None:
+        whole = whole.withColumn("prestador_sk", scd2.version_key(spec.provider, scd2.VERSION_SINCE))
     return whole.select(*costs.columns, *VARIANCE_COLUMNS, *([] if history is None else ["prestador_sk"]))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from varcost import constants as K
 from varcost.contracts import CATALOGUE, COSTS, DIM_PROVIDER, FACT, PROVIDERS, WAREHOUSE, conform_to
 from varcost.operators import cleaning, quality, quarantine, scd2, star
-from varcost.operators.variance import with_bands, with_ratio, with_totals_and_ranks
+from varcost.operators.variance import ranked_by_month, with_bands, with_ratio, with_totals
 from varcost.plans.trends import corrected_months, trend_load
 from varcost.session import get_spark
 from varcost.sinks.scratch import scratch_folder, stage
@@ -30,7 +31,7 @@ CALENDAR_FIRST, CALENDAR_LAST = date(2020, 1, 1), date(2026, 12, 1)
 # The first load of a provider says nothing about when it began, so its version covers the past.
 BEGINNING = date(1900, 1, 1)
 
-GRAIN = ("prestador_id", "codigo_sns", "periodo")
+GRAIN = quality.COST_GRAIN
 
 AUDIT_COLUMNS = ("_source", "_ingestion_ts")
 
@@ -52,11 +53,13 @@ def calendar_span(costs: DataFrame) -> tuple[date, date]:
 
 
 def quality_report(catalogue: DataFrame, providers: DataFrame, costs: DataFrame) -> DataFrame:
-    """All suites of a run, one aggregate per data set."""
+    """All suites of a run, one aggregate per data set. Costs are tagged: their repeated keys are known."""
+    repeated = F.array_contains(quarantine.REASONS, quarantine.REPEATED)
+    cost_suite = [replace(c, repeated=repeated) if c == quality.Uniqueness(GRAIN) else c for c in quality.COST_SUITE]
     suites = (
         (catalogue, "nomenclador", quality.CATALOGUE_SUITE),
         (providers, "prestadores", quality.PROVIDER_SUITE),
-        (costs, "costos", quality.COST_SUITE),
+        (costs, "costos", cost_suite),
     )
     return reduce(DataFrame.unionByName, (quality.run_suite(*suite) for suite in suites))
 
@@ -173,14 +176,15 @@ def run_monthly(
 
     spec = WAREHOUSE["fact_costos_prestacionales"]
     parquet_path = f"{output}/{spec.name}"
-    scored = with_ratio(costs).drop("desvio_abs_ars")
     carry_path = f"{output}/carry"
     before = loaded_fact(spark, parquet_path)
-    load = trend_load(scored, None if before is None else _observations(before), read_latest(spark, carry_path))
+    load = trend_load(costs, None if before is None else _observations(before), read_latest(spark, carry_path))
     # Columns that a row gives by itself are computed as it is written.
     trended = load.rows.drop("desvio_pct", "desvio_pct_anterior")
-    keyed = star.with_dimension_keys(with_totals_and_ranks(trended, costs, history=history), history, catalogue)
-    fact, finish = with_bands(with_ratio(keyed)).drop("desvio_pct", "desvio_abs_ars"), lambda df: star.as_fact(with_ratio(df), run)
+    keyed = star.with_dimension_keys(with_totals(trended, costs, history=history), history, catalogue)
+    # The last shuffle of the rows: it ranks them and gathers months for the files.
+    ranked = ranked_by_month(keyed, costs)
+    fact, finish = with_bands(with_ratio(ranked)).drop("desvio_pct", "desvio_abs_ars"), lambda df: star.as_fact(with_ratio(df), run)
     if load.corrected is not None:
         fixed, fact, finish = corrected_months(before, load.corrected), finish(fact), None
         fact = stage(fact if fixed is None else fact.unionByName(fixed), "fact")  # months are replaced that are read
@@ -205,6 +209,7 @@ def run_monthly(
         observation=seen,
         metrics=[metric.alias(name) for name, metric in metrics.items()],
         finish=finish,
+        gathered=load.corrected is None,
     )
     write_version(carry, carry_path, run.run_id)
     if written.fmt in FILE_FORMATS:

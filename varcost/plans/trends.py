@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varcost.functions.joins import join_null_safe
 from varcost.operators import carry as C
-from varcost.operators.variance import SPEC, VarianceSpec
+from varcost.operators.variance import SPEC, VarianceSpec, with_ratio
 from varcost.sinks.scratch import stage
 from varcost.sinks.versions import read_latest, write_version
 from varcost.sinks.writers import write_table
@@ -29,18 +29,21 @@ def trend_load(
 ) -> TrendLoad:
     """Trends of ``rows``, with all their columns, after what was loaded before; months are not NULL.
 
+    Rows without ``desvio_pct`` have the ratio of their amounts, which then does not travel with new months.
+
     Months newer than the carry read nothing but the carry. Otherwise the history is read from the first of them on, and its columns
     that trends need before it. A load has few months; they come to the driver.
     """
     columns = [spec.provider, spec.item, spec.month, spec.actual, spec.budget, "desvio_pct"]
-    observed = rows.select(*columns)
+    scored = rows if "desvio_pct" in rows.columns else with_ratio(rows, spec).drop("desvio_abs_ars")
+    observed = scored.select(*columns)
     newest = carry.agg(F.max(spec.month)).first()[0] if carry is not None else None
     months = [] if newest is None else sorted(r[0] for r in rows.select(spec.month).distinct().collect() if r[0] is not None)
     if not months or months[0] > newest:
         return TrendLoad(C.with_carried_trend(rows, carry, spec), None, C.merged_carry(carry, observed, spec))
     if history is None:
         raise ValueError(f"{months[0]} is not newer than {newest}: loading it again needs the history")
-    ours, others = C.reloaded_trends(history, rows, months, spec)
+    ours, others = C.reloaded_trends(history, scored, months, spec)
     kept = history.filter(~F.col(spec.month).isin(*months)).select(*columns)
     # A series may have lost its last row, so the carry is built anew, from one aggregate over the history's few columns.
     return TrendLoad(ours, others, C.last_observations(kept.unionByName(observed), spec))

@@ -30,14 +30,18 @@ class Written(NamedTuple):
         return (reader if schema is None else reader.schema(schema)).load(self.target)
 
 
-def laid_out(df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = ()) -> DataFrame:
+def laid_out(
+    df: DataFrame, partition_by: Sequence[str] = (), cluster_by: Sequence[str] = (), gathered: bool = False
+) -> DataFrame:
     """Arrange rows for a partitioned, clustered write.
 
     REBALANCE gathers each partition's rows into files of the advisory size: adaptive execution
     splits a month that is too large for one task and merges small ones. Sorting inside each
     task gives row groups narrow min/max ranges on the cluster columns, so scans skip them.
+
+    Rows that tasks hold ``gathered`` by partition already, large ones in parts, are only sorted.
     """
-    balanced = df.hint("rebalance", *partition_by)
+    balanced = df if gathered else df.hint("rebalance", *partition_by)
     order = [*partition_by, *cluster_by]
     return balanced.sortWithinPartitions(*order) if order else balanced
 
@@ -55,6 +59,7 @@ def write_table(
     observation: Observation | None = None,
     metrics: Sequence[Column] = (),
     finish: Callable[[DataFrame], DataFrame] | None = None,
+    gathered: bool = False,
 ) -> Written:
     """Write a table and return where it went.
 
@@ -70,10 +75,12 @@ def write_table(
     ``finish`` gives rows their final columns, each row by itself, after they have been arranged: what can be computed from a row is
     not shuffled and sorted with it. It must keep the partition and cluster columns. Parquet is compressed by zstd, which halves
     the hexadecimal keys, unless ``options`` name another ``compression``.
+
+    ``gathered`` rows are written to files from the tasks that hold them, without another shuffle, see :func:`laid_out`.
     """
 
     if fmt in FILE_FORMATS:
-        rows = laid_out(df, partition_by, cluster_by)
+        rows = laid_out(df, partition_by, cluster_by, gathered)
         rows = rows if finish is None else finish(rows)
         writer = (rows if observation is None else rows.observe(observation, *metrics)).write.mode(mode)
         if partition_by:
@@ -99,7 +106,7 @@ def write_table(
     # As files, partitions can be replaced one by one, so a rerun leaves one copy.
     return write_table(
         df, fallback, "parquet", "overwrite" if partition_by else mode, partition_by, cluster_by,
-        observation=observation, metrics=metrics, finish=finish,
+        observation=observation, metrics=metrics, finish=finish, gathered=gathered,
     )
 
 

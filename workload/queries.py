@@ -275,18 +275,20 @@ def sink_roundtrip(spark, sf_dir):
     base = f"{scratch_folder(spark)}/warehouse-{uuid.uuid4().hex}"
     spec = WAREHOUSE["fact_costos_prestacionales"]
     history = staged_history(spark, sf_dir)
-    narrow = variance.narrow_variance(staged_costs(spark, sf_dir), history=history).drop("desvio_pct_anterior")
-    # What both writes share is what takes joins; the other columns are computed as rows are written.
-    staged = stage(star.with_dimension_keys(narrow, history, staged_catalogue(spark, sf_dir)), "fact")
+    costs = staged_costs(spark, sf_dir)
+    narrow = variance.narrow_variance(costs, history=history, ranked=False).drop("desvio_pct_anterior")
+    keyed = star.with_dimension_keys(narrow, history, staged_catalogue(spark, sf_dir))
+    # What both writes share is what takes shuffles, the gathering by month too; the other columns are computed as rows are written.
+    staged = stage(variance.ranked_by_month(keyed, costs).sortWithinPartitions("periodo", "prestador_id"), "fact")
     rows = variance.with_bands(variance.with_ratio(staged)).drop("desvio_pct", "desvio_abs_ars")
 
     def finish(df):
         return star.as_fact(variance.with_ratio(df), RUN)
 
-    path = write_spec(rows, spec, base, finish=finish).target
+    path = write_spec(rows, spec, base, finish=finish, gathered=True).target
     # A rerun of some months replaces them and leaves the others alone.
     rerun = rows.filter(F.col("periodo") >= "2000")
-    write_table(rerun, path, partition_by=spec.partition_by, cluster_by=spec.cluster_by, finish=finish)
+    write_table(rerun, path, partition_by=spec.partition_by, cluster_by=spec.cluster_by, finish=finish, gathered=True)
     return comparable(spark.read.schema(FACT).parquet(path).drop("_calc_ts"))
 
 
