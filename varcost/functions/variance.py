@@ -44,6 +44,24 @@ def trend(current: Column, previous: Column) -> Column:
     )
 
 
+TRENDS = (K.TREND_NEW, K.TREND_WORSE, K.TREND_BETTER, K.TREND_SAME)
+
+
+def trend_code(label: Column) -> Column:
+    """A trend as a small number, for rows that travel; :func:`trend_label` is its inverse."""
+    branches = F
+    for code, name in enumerate(TRENDS):
+        branches = branches.when(label == name, F.lit(code))
+    return branches.cast("tinyint")
+
+
+def trend_label(code: Column) -> Column:
+    branches = F
+    for known, name in enumerate(TRENDS):
+        branches = branches.when(code == known, F.lit(name))
+    return branches
+
+
 def money_sum(amount: Column, over: WindowSpec | None = None) -> Column:
     """Sum of a double amount that does not depend on the order rows arrive in; ``over`` a window, if one is given.
 

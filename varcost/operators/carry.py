@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
-from varcost.operators.variance import SPEC, VarianceSpec, observed, with_previous
+from varcost.operators.variance import SPEC, VarianceSpec, observed, series_window, with_previous
+
+LAST = "_last"
 
 
 def _place(spec: VarianceSpec) -> Column:
@@ -30,18 +32,33 @@ def _observed(spec: VarianceSpec) -> list[str]:
 def last_observations(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """The carry table of some rows: per series the month, amounts and variance of its last one.
 
-    One aggregate that combines map-side. Rows need ``desvio_pct`` besides the columns of the specification.
+    One aggregate that combines map-side. Rows without ``desvio_pct`` have the ratio of their amounts, taken of the last ones alone.
     """
     # The variance is last, so it only decides between rows that are alike in all else, the same on every run.
-    last = F.struct(F.col(spec.month).isNotNull().alias("_known"), spec.month, spec.actual, spec.budget, "desvio_pct")
+    given = [c for c in ("desvio_pct",) if c in df.columns]
+    last = F.struct(F.col(spec.month).isNotNull().alias("_known"), spec.month, spec.actual, spec.budget, *given)
     found = df.groupBy(spec.provider, spec.item).agg(F.max(last).alias("last"))
-    return found.select(spec.provider, spec.item, "last.*").drop("_known")
+    lasts = found.select(spec.provider, spec.item, "last.*").drop("_known")
+    return lasts if given else lasts.withColumn("desvio_pct", observed(lasts, spec))
+
+
+def with_last(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
+    """Add ``_last``: whether the row is the last of its series, in the order of :func:`with_previous`."""
+    return df.withColumn(LAST, F.lead(F.lit(True)).over(series_window(df, spec)).isNull())
+
+
+def carry_of_last(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
+    """The carry table of rows with ``_last``: the same as :func:`last_observations`."""
+    lasts = df.filter(LAST)
+    return lasts.withColumn("desvio_pct", observed(lasts, spec)).select(*_observed(spec))
 
 
 def merged_carry(carry: DataFrame | None, df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     """The carry after a load: the later of the two last rows of each series."""
-    new = df.select(*_observed(spec))
-    return last_observations(new if carry is None else carry.select(*_observed(spec)).unionByName(new), spec)
+    if carry is None:
+        return last_observations(df, spec)
+    new = df.withColumn("desvio_pct", observed(df, spec)).select(*_observed(spec))
+    return last_observations(carry.select(*_observed(spec)).unionByName(new), spec)
 
 
 def carry_before(history: DataFrame, month: str, spec: VarianceSpec = SPEC) -> DataFrame:

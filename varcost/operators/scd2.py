@@ -154,6 +154,21 @@ def current(dimension: DataFrame) -> DataFrame:
     return dimension.filter("es_vigente")
 
 
+def versions_by_key(dimension: DataFrame, key: str = "prestador_id") -> DataFrame:
+    """One row per key with ``_versions``, the months its versions cover and the days they began; a NULL key has none to be found."""
+    version = F.struct(
+        F.date_format("fecha_inicio", "yyyyMM").alias("begun"), F.date_format("fecha_fin", "yyyyMM").alias("ended"),
+        F.col("fecha_inicio").alias("since"),
+    )
+    return dimension.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(version).alias("_versions"))
+
+
+def since_in_force(versions: Column, month: Column) -> Column:
+    """When the version in force on the last day of ``month`` began, of ``versions`` by :func:`versions_by_key`."""
+    found = F.filter(versions, lambda v: (v["begun"] <= month) & (v["ended"].isNull() | (v["ended"] > month)))
+    return F.get(found, F.lit(0))["since"]
+
+
 def as_of_month(
     fact: DataFrame,
     dimension: DataFrame,

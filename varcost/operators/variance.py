@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from varcost.functions import variance as V
 from varcost.functions.joins import join_null_safe
 from varcost.operators import scd2
 from varcost.operators.ranking import DIGIT_BITS, ROWS_PER_SLICE, join_ranks, magnitude_ranks, rank_slices, ranked_in_slices
+from varcost.sinks.scratch import stage
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,10 @@ class VarianceSpec:
 
 SPEC = VarianceSpec()
 
+# Rows of one provider that a task takes at least, before the provider's series are dealt out; and the part that a row is in.
+ROWS_PER_PART = 500_000
+PART = "_provider_part"
+
 # What :func:`budget_variance` adds to the costs.
 VARIANCE_COLUMNS = (
     "desvio_pct", "desvio_abs_ars", "alerta_flag", "severidad", "desvio_pct_anterior", "tendencia",
@@ -61,10 +67,15 @@ def observed(df: DataFrame, spec: VarianceSpec = SPEC) -> Column:
     return F.col("desvio_pct") if "desvio_pct" in df.columns else V.ratio(F.col(spec.actual), F.col(spec.budget))
 
 
-def _series(spec: VarianceSpec) -> WindowSpec:
-    return Window.partitionBy(spec.provider, spec.item).orderBy(
-        F.col(spec.month).asc_nulls_first(), F.col(spec.actual), F.col(spec.budget)
-    )
+def _in_time(spec: VarianceSpec) -> list[Column]:
+    return [F.col(spec.month).asc_nulls_first(), F.col(spec.actual), F.col(spec.budget)]
+
+
+def series_window(df: DataFrame, spec: VarianceSpec) -> WindowSpec:
+    """One series in time. A NULL month is the first."""
+    # A series is in one part, so naming the part changes nothing but that rows by part need no shuffle.
+    parts = [PART] if PART in df.columns else []
+    return Window.partitionBy(spec.provider, *parts, spec.item).orderBy(*_in_time(spec))
 
 
 def with_previous(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
@@ -74,7 +85,7 @@ def with_previous(df: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame:
     partition is no longer than the calendar. Months without a row are skipped, not filled. Rows without ``desvio_pct``
     travel without it, see :func:`observed`.
     """
-    series = _series(spec)
+    series = series_window(df, spec)
     if "desvio_pct" in df.columns:
         previous = F.lag("desvio_pct").over(series)
     else:
@@ -148,16 +159,70 @@ def with_totals(
     return join_null_safe(trended, totals, [spec.provider, spec.month])
 
 
+class ByProvider(NamedTuple):
+    """Rows gathered by provider and part, and the providers that have several parts."""
+
+    rows: DataFrame
+    large: DataFrame
+
+
+def by_provider(
+    costs: DataFrame, history: DataFrame | None = None, spec: VarianceSpec = SPEC, rows: int = ROWS_PER_PART
+) -> ByProvider:
+    """Costs gathered by provider, so that one shuffle serves trends, totals and the version in force.
+
+    A provider of more than ``rows`` rows is dealt out in parts by item; a series stays whole. Providers are counted map-side. With
+    the ``history`` rows also get the version in force in their month (``scd2.VERSION_SINCE``), as by :func:`with_totals`: a
+    provider's few versions come along to each of its parts.
+    """
+    counted = costs.groupBy(spec.provider).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows)
+    large = stage(counted.select(spec.provider, F.ceil(F.col("_n") / rows).alias("_parts")), "large")
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    part = F.pmod(F.xxhash64(spec.item), parts).cast("int")
+    dealt = join_null_safe(costs, large, [spec.provider]).withColumn(PART, part).drop("_parts")
+    if history is None:
+        return ByProvider(dealt.repartition(spec.provider, PART), large)
+    known = join_null_safe(scd2.versions_by_key(history, spec.provider), large, [spec.provider])
+    each = known.withColumn(PART, F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).drop("_parts")
+    gathered = dealt.unionByName(each, allowMissingColumns=True).repartition(spec.provider, PART)
+    # In the order of the series, which then need no sort of their own.
+    of_part = Window.partitionBy(spec.provider, PART).orderBy(spec.item, *_in_time(spec)).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    met = gathered.withColumn("_known", F.first("_versions", ignorenulls=True).over(of_part)).filter("_versions IS NULL")
+    since = scd2.since_in_force(F.col("_known"), F.col(spec.month))
+    return ByProvider(met.withColumn(scd2.VERSION_SINCE, since).drop("_versions", "_known"), large)
+
+
+def with_totals_by_provider(
+    gathered: DataFrame, costs: DataFrame, large: DataFrame, spec: VarianceSpec = SPEC
+) -> DataFrame:
+    """Add the provider totals of ``costs`` to its rows as :func:`by_provider` has gathered them, without another shuffle.
+
+    Only the totals of ``large`` providers, whose rows are in several parts, are summed apart and joined.
+    """
+    in_part = Window.partitionBy(spec.provider, PART, spec.month)
+    summed = gathered.withColumn("_total", V.money_sum(F.col(spec.actual), over=in_part))
+    whole = stage(provider_totals(join_null_safe(costs, large, [spec.provider], "left_semi"), spec), "totals")
+    name = "costo_real_acum_prestador"
+    joined = join_null_safe(summed, whole, [spec.provider, spec.month])
+    return joined.withColumn(name, F.coalesce(name, "_total")).drop("_total", PART)
+
+
 def ranked_by_month(
     df: DataFrame, costs: DataFrame, spec: VarianceSpec = SPEC, rows: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Add ``rank_desvio_periodo`` to the rows of ``costs`` as they are in ``df``, gathered by month for :func:`write_table`.
 
     One shuffle both ranks the rows and lays them out. A task holds whole months or slices of a large one, each of about ``rows`` rows.
+    ``tendencia``, if there, travels as a number.
     """
+    trended = "tendencia" in df.columns
+    df = df.withColumn("tendencia", V.trend_code(F.col("tendencia"))) if trended else df
     slices = rank_slices(costs, spec.month, F.abs(observed(costs, spec)), rows)
     salt = (spec.provider, spec.item, spec.actual, spec.budget)
-    return ranked_in_slices(df, slices, spec.month, F.abs(observed(df, spec)), "rank_desvio_periodo", salt)
+    ranked = ranked_in_slices(df, slices, spec.month, F.abs(observed(df, spec)), "rank_desvio_periodo", salt)
+    return ranked.withColumn("tendencia", V.trend_label(F.col("tendencia"))) if trended else ranked
 
 
 def narrow_variance(
@@ -165,10 +230,12 @@ def narrow_variance(
 ) -> DataFrame:
     """Costs with the variance columns that take more than the row itself; the rest comes from ratio and bands.
 
-    Not ``ranked`` is for rows that :func:`ranked_by_month` ranks as it gathers them.
+    Not ``ranked`` is for staged costs that :func:`ranked_by_month` ranks as it gathers them; here they are gathered by provider.
     """
-    trended = with_trend(costs, spec)
-    return with_totals_and_ranks(trended, costs, spec, history) if ranked else with_totals(trended, costs, spec, history)
+    if ranked:
+        return with_totals_and_ranks(with_trend(costs, spec), costs, spec, history)
+    gathered = by_provider(costs, history, spec)
+    return with_totals_by_provider(with_trend(gathered.rows, spec), costs, gathered.large, spec)
 
 
 def budget_variance(costs: DataFrame, spec: VarianceSpec = SPEC, history: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from varcost import constants as K
 from varcost.contracts import CATALOGUE, COSTS, DIM_PROVIDER, FACT, PROVIDERS, WAREHOUSE, conform_to
 from varcost.operators import cleaning, quality, quarantine, scd2, star
 from varcost.operators.variance import ranked_by_month, with_bands, with_ratio, with_totals
-from varcost.plans.trends import corrected_months, trend_load
+from varcost.plans.trends import corrected_months, first_load, trend_load
 from varcost.session import get_spark
 from varcost.sinks.scratch import scratch_folder, stage
 from varcost.sinks.versions import read_latest, version_path, write_version
@@ -178,10 +178,15 @@ def run_monthly(
     parquet_path = f"{output}/{spec.name}"
     carry_path = f"{output}/carry"
     before = loaded_fact(spark, parquet_path)
-    load = trend_load(costs, None if before is None else _observations(before), read_latest(spark, carry_path))
+    known_carry = read_latest(spark, carry_path)
+    if known_carry is None:
+        load = first_load(costs, history)
+    else:
+        load = trend_load(costs, None if before is None else _observations(before), known_carry)
     # Columns that a row gives by itself are computed as it is written.
     trended = load.rows.drop("desvio_pct", "desvio_pct_anterior")
-    keyed = star.with_dimension_keys(with_totals(trended, costs, history=history), history, catalogue)
+    totalled = trended if known_carry is None else with_totals(trended, costs, history=history)
+    keyed = star.with_dimension_keys(totalled, history, catalogue)
     # The last shuffle of the rows: it ranks them and gathers months for the files.
     ranked = ranked_by_month(keyed, costs)
     fact, finish = with_bands(with_ratio(ranked)).drop("desvio_pct", "desvio_abs_ars"), lambda df: star.as_fact(with_ratio(df), run)

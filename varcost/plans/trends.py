@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varcost.functions.joins import join_null_safe
 from varcost.operators import carry as C
-from varcost.operators.variance import SPEC, VarianceSpec, with_ratio
+from varcost.operators.variance import SPEC, VarianceSpec, by_provider, with_ratio, with_totals_by_provider, with_trend
 from varcost.sinks.scratch import stage
 from varcost.sinks.versions import read_latest, write_version
 from varcost.sinks.writers import write_table
@@ -35,18 +35,29 @@ def trend_load(
     that trends need before it. A load has few months; they come to the driver.
     """
     columns = [spec.provider, spec.item, spec.month, spec.actual, spec.budget, "desvio_pct"]
-    scored = rows if "desvio_pct" in rows.columns else with_ratio(rows, spec).drop("desvio_abs_ars")
-    observed = scored.select(*columns)
     newest = carry.agg(F.max(spec.month)).first()[0] if carry is not None else None
     months = [] if newest is None else sorted(r[0] for r in rows.select(spec.month).distinct().collect() if r[0] is not None)
     if not months or months[0] > newest:
-        return TrendLoad(C.with_carried_trend(rows, carry, spec), None, C.merged_carry(carry, observed, spec))
+        return TrendLoad(C.with_carried_trend(rows, carry, spec), None, C.merged_carry(carry, rows, spec))
     if history is None:
         raise ValueError(f"{months[0]} is not newer than {newest}: loading it again needs the history")
+    scored = rows if "desvio_pct" in rows.columns else with_ratio(rows, spec).drop("desvio_abs_ars")
     ours, others = C.reloaded_trends(history, scored, months, spec)
     kept = history.filter(~F.col(spec.month).isin(*months)).select(*columns)
     # A series may have lost its last row, so the carry is built anew, from one aggregate over the history's few columns.
-    return TrendLoad(ours, others, C.last_observations(kept.unionByName(observed), spec))
+    return TrendLoad(ours, others, C.last_observations(kept.unionByName(scored.select(*columns)), spec))
+
+
+def first_load(costs: DataFrame, providers: DataFrame, spec: VarianceSpec = SPEC) -> TrendLoad:
+    """Trends of a load that follows nothing, with provider totals and the versions of ``providers`` in force.
+
+    It needs its series whole, so one shuffle by provider serves them all, see :func:`by_provider`. The result is staged: the carry is
+    its last row of each series, which needs no aggregate over all rows.
+    """
+    gathered = by_provider(costs, providers, spec)
+    trended = C.with_last(with_trend(gathered.rows, spec).drop("desvio_pct_anterior"), spec)
+    rows = stage(with_totals_by_provider(trended, costs, gathered.large, spec), "trends")
+    return TrendLoad(rows.drop(C.LAST), None, C.carry_of_last(rows, spec))
 
 
 def corrected_months(table: DataFrame, corrected: DataFrame, spec: VarianceSpec = SPEC) -> DataFrame | None:

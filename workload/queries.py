@@ -275,7 +275,8 @@ def sink_roundtrip(spark, sf_dir):
     base = f"{scratch_folder(spark)}/warehouse-{uuid.uuid4().hex}"
     spec = WAREHOUSE["fact_costos_prestacionales"]
     history = staged_history(spark, sf_dir)
-    costs = staged_costs(spark, sf_dir)
+    # Neighbours of one provider compress better, in the table and in the shuffle by provider.
+    costs = stage(A.costs(spark, sf_dir).sortWithinPartitions("prestador_id", "periodo"), "costs")
     narrow = variance.narrow_variance(costs, history=history, ranked=False).drop("desvio_pct_anterior")
     keyed = star.with_dimension_keys(narrow, history, staged_catalogue(spark, sf_dir))
     # What both writes share is what takes shuffles, the gathering by month too; the other columns are computed as rows are written.
